@@ -183,3 +183,36 @@ def grams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
         inside = at < offsets[1:][row]
         g = np.where(inside, mix(g * np.uint64(31) + hashes[np.minimum(at, len(hashes) - 1)] + np.uint64(k + 1)), g)
     return g, out
+
+
+class Lines(NamedTuple):
+    """Lines of a run of texts, newlines left out; places are in code points from the first text's start. A text's last line may be missing if it is empty."""
+
+    row: np.ndarray
+    number: np.ndarray  # in the text, from 0
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray  # of what is left when white space at the ends is dropped
+    last: np.ndarray
+
+
+@functools.cache
+def _spaces() -> np.ndarray:
+    return np.fromiter((chr(i).isspace() for i in range(0x10000)), bool, 0x10000)
+
+
+def lines(cp: np.ndarray, at: np.ndarray) -> Lines:
+    newline = np.flatnonzero(cp == 10)
+    start = np.union1d(at[:-1], newline + 1)
+    start = start[start < len(cp)].astype(np.int64)
+    row = np.searchsorted(at, start, "right") - 1
+    ends = np.append(newline, len(cp))
+    end = np.minimum(ends[np.searchsorted(newline, start)], at[1:][row])
+    number = np.arange(len(start)) - np.searchsorted(start, at[:-1])[row]
+    solid = np.flatnonzero(~_spaces()[np.minimum(cp, 0xFFFF)])
+    if not len(solid):
+        return Lines(row, number, start, end, start, start)
+    first = solid[np.minimum(np.searchsorted(solid, start), len(solid) - 1)]
+    last = solid[np.maximum(np.searchsorted(solid, end) - 1, 0)] + 1
+    blank = (first >= end) | (first < start) | (last <= start)
+    return Lines(row, number, start, end, np.where(blank, start, first), np.where(blank, start, last))

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe
+from .decontaminate import op6_decontaminate
 from .language_id import op5_language_id
+from .line_dedup import op7_line_dedup
 from .quality import op3_compression_bands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_bands": op3_compression_bands,
     "op5_language_id": op5_language_id,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op9_bpe": op9_bpe,
 }
 
