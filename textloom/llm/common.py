@@ -44,38 +44,55 @@ class Scatter:
 
     A row-wise exchange costs about a microsecond a row on either side; packed columns cost a few
     nanoseconds, and sorted ids inside a block compress well. Rows are held until about `hold` of
-    them are there, so that blocks stay large however many buckets there are."""
+    them (or HOLD_BYTES of long values) are there, so that blocks stay large however many buckets there
+    are. With long, a last column holds a run of 64-bit values for each row."""
 
-    def __init__(self, buckets: int, dtypes: list[str], hold: int = 1 << 20):
-        self.buckets, self.dtypes, self.hold = buckets, [np.dtype(d) for d in dtypes], hold
+    HOLD_BYTES = 1 << 26
+
+    def __init__(self, buckets: int, dtypes: list[str], hold: int = 1 << 20, long: bool = False):
+        self.buckets, self.dtypes, self.hold, self.long = buckets, [np.dtype(d) for d in dtypes], hold, long
         self.held: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = self.bytes = 0
 
-    def add(self, bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, bucket: np.ndarray, *columns: np.ndarray, run: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+        """run: the values of all rows' runs, and how many each row has."""
         if len(bucket):
             self.held.append((bucket.astype(np.int32), *(np.asarray(c).astype(d, copy=False) for c, d in zip(columns, self.dtypes, strict=True))))
             self.n += len(bucket)
-        if self.n >= self.hold:
+            if run is not None:
+                self.runs.append((run[0].astype(np.uint64, copy=False), run[1].astype(np.int64)))
+                self.bytes += 8 * len(run[0])
+        if self.n >= self.hold or self.bytes >= self.HOLD_BYTES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
         bucket, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        self.held, self.n = [], 0
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         there, start = np.unique(bucket, return_index=True)
-        ends = np.append(start[1:], len(bucket))
+        ends = np.append(start, len(bucket))
         out = [pa.array(there, pa.int32())]
         for c, d in zip(columns, self.dtypes, strict=True):
-            offsets = np.append(start, ends[-1:]).astype(np.int64) * d.itemsize
-            out.append(pa.Array.from_buffers(pa.large_binary(), len(there), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(c[order]))]).cast(pa.binary()))
-        yield pa.RecordBatch.from_arrays(out, names=["bucket", *(f"c{k}" for k in range(len(self.dtypes)))])
+            out.append(_binary(c[order], ends * d.itemsize))
+        if self.long:
+            values, sizes = (np.concatenate(c) for c in zip(*self.runs, strict=True))
+            at = np.cumsum(sizes) - sizes
+            sizes, at = sizes[order], at[order]
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            out += [_binary(sizes.astype(np.int32), ends * 4), _binary(values[np.repeat(at, sizes) + ranges(sizes)], before[ends] * 8)]
+        self.held, self.runs, self.n, self.bytes = [], [], 0, 0
+        yield pa.RecordBatch.from_arrays(out, names=["bucket", *(f"c{k}" for k in range(len(out) - 1))])
 
     @property
     def schema(self) -> str:
-        return "bucket int, " + ", ".join(f"c{k} binary" for k in range(len(self.dtypes)))
+        return "bucket int, " + ", ".join(f"c{k} binary" for k in range(len(self.dtypes) + 2 * self.long))
+
+
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -10,10 +10,12 @@ from .bpe import op9_bpe
 from .decontaminate import op6_decontaminate
 from .language_id import op5_language_id
 from .line_dedup import op7_line_dedup
+from .ngram_join import op4_ngram_join
 from .quality import op3_compression_bands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_bands": op3_compression_bands,
+    "op4_ngram_join": op4_ngram_join,
     "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
