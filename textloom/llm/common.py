@@ -158,12 +158,6 @@ def cut(texts: pa.Array, spans: pa.ListArray) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-#: Up to so many rows, a side of a join is sent to every executor; beyond it both sides are shuffled.
-BROADCAST_ROWS = 200_000
-
-
 def joined(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """big joined with small, which has been computed already (see durable): by broadcast if it is short, else by a shuffle of both."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on, how)
+    """big joined with small, which holds ids and short lists, by a shuffle of both: small grows with the corpus, so it isn't broadcast. big is streamed past hash tables of small's partitions and needn't be sorted."""
     return big.join(small.hint("shuffle_hash"), on, how)

@@ -12,8 +12,10 @@ from .language_id import op5_language_id
 from .line_dedup import op7_line_dedup
 from .ngram_join import op4_ngram_join
 from .quality import op3_compression_bands
+from .substring_dedup import op1_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_compression_bands": op3_compression_bands,
     "op4_ngram_join": op4_ngram_join,
     "op5_language_id": op5_language_id,
