@@ -1,13 +1,17 @@
-"""The corpus pipeline: language ID and BPE encoding, each stage on what the one before kept."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination and BPE encoding, each stage on what the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, language_id
+from textloom.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
+from textloom.llm.common import written
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_join", ngram_join.stage),
+    ("decontaminate", decontaminate.stage),
     ("bpe", bpe.stage),
 ]
 
@@ -16,8 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over the documents."""
+    """The stages one after another over the documents; what each keeps is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,10 +29,22 @@ def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder, so that a lost executor takes nothing with it.
 
     The folder is the session's spark.checkpoint.dir; where that is unset, as in tests, a temporary one of our own."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own in the shared checkpoint folder; it stays there as long as the folder does."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shipped(spark: SparkSession, value: object):

@@ -13,6 +13,7 @@ from .language_id import op5_language_id
 from .line_dedup import op7_line_dedup
 from .ngram_join import op4_ngram_join
 from .quality import op3_compression_bands
+from .secrets import op10_secret_scan
 from .substring_dedup import op1_substring_dedup
 from .warc import op2_warc_assembly
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_bpe": op9_bpe,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 SQL: dict[str, str] = {"op8_chat_format": chat.SQL}
