@@ -108,11 +108,27 @@ def _repeats(key, doc, start, end):
     yield pa.RecordBatch.from_pydict({"doc_id": doc[run], **nulls, "tl_run": start[run]})
 
 
+def _overlapping(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first, end) of each run of spans that overlap; spans are sorted by doc and start."""
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    index = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)])) << 32
+    reached = np.maximum.accumulate(index + end)
+    first = np.flatnonzero(np.concatenate([[True], (index + start)[1:] > reached[:-1]]))
+    last = np.append(first[1:], len(doc)) - 1
+    return first, reached[last] - index[last]
+
+
+_STRETCH = ["u8", "i8", "i4", "i4", "i4"]
+
+
 def _stretches(buckets: int, s: Settings):
-    """Stretches whose least run occurs elsewhere: key, doc, start, end; they go to the bucket of the run, so that neighbours stay together."""
+    """Stretches whose least run occurs elsewhere: key, doc, start, end, -1; they go to the bucket of the run, so that neighbours stay together.
+
+    Of equal stretches in a document only the first goes there. The others are decided: they are put together to spans, with the place of the first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Scatter(buckets, _UNIT)
+        out = Scatter(buckets, _STRETCH, 1 << 18)
         for batch in batches:
             ids, texts, runs = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2)
             for a, b in K.slices(texts):
@@ -128,39 +144,53 @@ def _stretches(buckets: int, s: Settings):
                 known[word[word < w.offsets[1:][row]]] = True
                 take = known[least]
                 first, run = first[take], run[take]
+                if not len(first):
+                    continue
                 key = K.span_hash(K.prefix(w.hash), first, first + s.window)
                 row = w.row[first]
-                yield from out.add(bucket_of(run, buckets), key, ids[a:b][row], w.start[first] - w.at[row], w.end[first + s.window - 1] - w.at[row])
+                order = np.lexsort((first, key, row))
+                first, run, key, row = (c[order] for c in (first, run, key, row))
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])
+                start, end = w.start[first] - w.at[row], w.end[first + s.window - 1] - w.at[row]
+                # by place again: neighbours side by side compress well
+                at = np.flatnonzero(new)
+                at = at[np.argsort(first[at])]
+                yield from out.add(bucket_of(run[at], buckets), key[at], ids[a:b][row[at]], start[at], end[at], np.full(len(at), -1))
+                kept = start[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                at = np.flatnonzero(~new)
+                at = at[np.lexsort((start[at], row[at]))]
+                one, reached = _overlapping(row[at], start[at], end[at])
+                doc = ids[a:b][row[at[one]]]
+                yield from out.add(bucket_of(K.mix(doc), buckets), np.zeros(len(one)), doc, start[at[one]], reached, kept[at[one]])
         yield from out.flush()
 
     return rows
 
 
-def _passages(key, doc, start, end):
+def _passages(key, doc, start, end, kept_start):
     """Stretches that have stood before, those that overlap made into one."""
-    order = np.lexsort((start, doc, key))
-    key, doc, start, end = (c[order] for c in (key, doc, start, end))
-    first = starts(key)
-    of = np.repeat(first, np.diff(np.append(first, len(key))))
-    gone = np.flatnonzero((doc != doc[of]) | (start != start[of]))
-    order = gone[np.lexsort((start[gone], doc[gone]))]
-    if not len(order):
+    decided = np.flatnonzero(kept_start >= 0)
+    order = np.flatnonzero(kept_start < 0)
+    order = order[np.lexsort((start[order], doc[order], key[order]))]
+    first = starts(key[order])
+    of = order[np.repeat(first, np.diff(np.append(first, len(order))))]
+    later = (doc[order] != doc[of]) | (start[order] != start[of])
+    gone, of = np.concatenate([decided, order[later]]), np.concatenate([decided, of[later]])
+    kept = np.where(kept_start[of] >= 0, kept_start[of], start[of])
+    order = np.lexsort((start[gone], doc[gone]))
+    gone, of, kept = gone[order], of[order], kept[order]
+    if not len(gone):
         return
-    kept_doc, kept_start = doc[of[order]], start[of[order]]
-    doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    index = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)])) << 32
-    reached = np.maximum.accumulate(index + end)
-    first = np.flatnonzero(np.concatenate([[True], (index + start)[1:] > reached[:-1]]))
-    last = np.append(first[1:], len(doc)) - 1
-    yield pa.RecordBatch.from_pydict({"doc_id": doc[first], "start": start[first].astype(np.int32), "end": (reached[last] - index[last]).astype(np.int32), "kept_doc_id": kept_doc[first], "kept_start": kept_start[first].astype(np.int32)})
+    first, reached = _overlapping(doc[gone], start[gone].astype(np.int64), end[gone].astype(np.int64))
+    yield pa.RecordBatch.from_pydict({"doc_id": doc[gone[first]], "start": start[gone[first]], "end": reached.astype(np.int32), "kept_doc_id": doc[of[first]], "kept_start": kept[first].astype(np.int32)})
 
 
 def repeated_spans(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans (doc_id, unit, start, end in code points) that have stood before, and where: kept_doc_id, kept_start.
 
     unit is "line" for whole lines (what newlines separate) or "passage" for words inside them; passages don't overlap
-    one another. For a passage, where the first of its stretches stands is named. Null and empty texts have no units; rows
-    without a key take no part; rows with the same key count as one document: units at the same place in
+    one another. For a passage, a place is named where its first stretch has stood before: the first in the same document, if it
+    is repeated there, else the first of all. Null and empty texts have no units; rows without a key take no part; rows with the same key count as one document: units at the same place in
     them don't remove each other."""
     s = settings
     n = parts(docs.sparkSession)
@@ -169,8 +199,8 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings(), key: str =
     first = durable(block_reduce(units, n, _UNIT, _repeats, f"{SPANS}, tl_run int"))
     lines = first.where("unit is not null").drop("tl_run")
     runs = durable(first.where("unit is null").groupBy(F.col("doc_id").alias("tl_doc")).agg(F.collect_set("tl_run").alias("tl_runs")))
-    stretches = joined(own, runs, "tl_doc").select("tl_doc", "tl_text", "tl_runs").mapInArrow(_stretches(n, s), Scatter(n, _UNIT).schema)
-    found = block_reduce(stretches, n, _UNIT, _passages, "doc_id long, start int, end int, kept_doc_id long, kept_start int")
+    stretches = joined(own, runs, "tl_doc").select("tl_doc", "tl_text", "tl_runs").mapInArrow(_stretches(n, s), Scatter(n, _STRETCH).schema)
+    found = block_reduce(stretches, n, _STRETCH, _passages, "doc_id long, start int, end int, kept_doc_id long, kept_start int")
     w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "kept_doc_id", "kept_start")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     passages = (

@@ -1,10 +1,153 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, a few for each group of operators, with SQL for all that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import sentences as S
+from ..operators.documents import chunk_documents, words
+from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out for work on each of them: files can be few and large."""
+    return table(spark, sf_dir, "documents")
+
+
+def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.split_sentences(docs(spark, sf_dir).select("doc_id", "lang", "text"))
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, sent_num, sentence FROM sents")
+def sentences(spark, sf_dir):
+    return sents(spark, sf_dir).select("doc_id", "sent_num", "sentence")
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sentences, CAST(sum(length(sentence)) AS BIGINT) AS n_letters FROM sents GROUP BY doc_id")
+def sentence_count(spark, sf_dir):
+    return sents(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_letters"))
+
+
+@query(f"WITH {Q.SENTENCE_TABLE}, c AS (SELECT doc_id, sent_num, {Q.clauses('sentence')} AS c FROM sents) SELECT doc_id, sent_num, CAST(generate_subscripts(c, 1) AS INTEGER) AS clause_num, unnest(c) AS clause FROM c")
+def clauses(spark, sf_dir):
+    c = sents(spark, sf_dir).select("doc_id", "sent_num", F.posexplode(T.clauses(F.col("sentence"))).alias("clause_num", "clause"))
+    return c.withColumn("clause_num", F.col("clause_num") + 1)
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, sent_num, {Q.section_break('sentence')} AS is_section_break, CAST({Q.word_tokens('sentence')} AS INTEGER) AS n_tokens FROM sents")
+def section_breaks(spark, sf_dir):
+    return sents(spark, sf_dir).select("doc_id", "sent_num", "is_section_break", "n_tokens")
+
+
+@query(f"SELECT doc_id, CAST({Q.word_tokens('text')} AS INTEGER) AS n_tokens FROM documents")
+def word_tokens(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.word_tokens(F.col("text")).alias("n_tokens"))
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, sent_num, sentence FROM sents WHERE sent_num > 3")
+def offset_skip(spark, sf_dir):
+    return sents(spark, sf_dir).where("sent_num > 3").select("doc_id", "sent_num", "sentence")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS clean FROM documents")
+def alnum_clean(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.alnum(F.col("text")).alias("clean"))
+
+
+_HEAD = f"CASE WHEN {Q.section_break('sentence')} THEN chr(10) || sentence ELSE sentence END"
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, CAST((sent_num - 1) // 3 + 1 AS INTEGER) AS chunk_num, {Q.strip(f'string_agg({_HEAD}, chr(10) ORDER BY sent_num)')} AS content FROM sents GROUP BY doc_id, (sent_num - 1) // 3")
+def chunk_sentences(spark, sf_dir):
+    return chunk_documents(docs(spark, sf_dir).select("doc_id", "text"), max_sentences=3, overlap_percent=0, spans=False)
+
+
+#: Every seventh sentence made a heading: the documents have none of their own.
+_HEADED = f"""headed AS (SELECT doc_id, string_agg(CASE WHEN sent_num % 7 = 3 THEN '## ' || sentence ELSE sentence END, chr(10) ORDER BY sent_num) AS text FROM sents GROUP BY doc_id)"""
+
+
+def headed(spark, sf_dir):
+    s = docs(spark, sf_dir).select("doc_id", S.sentence_column(F.col("text")).alias("s")).where("size(s) > 0")
+    return s.select("doc_id", F.array_join(F.transform("s", lambda x, i: F.when((i + 1) % 7 == 3, F.concat(F.lit("## "), x)).otherwise(x)), "\n").alias("text"))
+
+
+@query(
+    f"""WITH {Q.SENTENCE_TABLE}, {_HEADED},
+again AS (SELECT doc_id, {Q.sentences('text')} AS s FROM headed),
+s2 AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS n FROM again),
+heads AS (SELECT *, {Q.section_break('sentence')} AS head, sum(CASE WHEN {Q.section_break('sentence')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS cum FROM s2),
+groups AS (SELECT doc_id, n, sentence, CASE WHEN cum = 0 THEN 0 ELSE (cum - 1) // 2 END AS g FROM heads)
+SELECT doc_id, CAST(g + 1 AS INTEGER) AS chunk_num, {Q.strip(f'string_agg({_HEAD}, chr(10) ORDER BY n)')} AS content FROM groups GROUP BY doc_id, g"""
+)
+def chunk_sections(spark, sf_dir):
+    return chunk_documents(headed(spark, sf_dir), max_section_breaks=2, overlap_percent=0, spans=False)
+
+
+@query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, sent_num, CAST(strpos(text, sentence) - 1 AS INTEGER) AS span_start, CAST(CASE WHEN strpos(text, sentence) > 0 THEN strpos(text, sentence) - 1 + length(sentence) ELSE -1 END AS INTEGER) AS span_end FROM sents")
+def span_exact(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(S.sentence_column(F.col("text"))).alias("p", "sentence"))
+    at = F.expr("locate(sentence, text)") - 1
+    return d.select("doc_id", (F.col("p") + 1).alias("sent_num"), at.alias("span_start"), F.when(at >= 0, at + F.length("sentence")).otherwise(-1).alias("span_end"))
+
+
+@query("SELECT doc_id, CASE WHEN confidence >= 0.7 THEN lang ELSE 'fallback' END AS route FROM (SELECT doc_id, lang, n_chars / (n_chars + 400.0) AS confidence FROM documents)")
+def lang_route(spark, sf_dir):
+    from ..operators.detect import route
+
+    return docs(spark, sf_dir).select("doc_id", route(F.col("lang"), F.col("n_chars") / (F.col("n_chars") + 400.0)).alias("route"))
+
+
+#: Sentences cut at every comma and dash, so that there is something to clean.
+_ODD = "string_split(replace(replace(text, ',', chr(10) || '!?...,' || chr(10)), 'tion', chr(10) || '- - -' || chr(10)), chr(10))"
+
+
+@query(f"SELECT doc_id, CAST(generate_subscripts(s, 1) AS INTEGER) AS sent_num, unnest(s) AS sentence FROM (SELECT doc_id, {Q.clean(_ODD)} AS s FROM documents)")
+def clean_sentences(spark, sf_dir):
+    odd = F.split(F.replace(F.replace("text", F.lit(","), F.lit("\n!?...,\n")), F.lit("tion"), F.lit("\n- - -\n")), "\n", -1)
+    s = docs(spark, sf_dir).select("doc_id", F.posexplode(T.clean_sentences(odd)).alias("p", "sentence"))
+    return s.select("doc_id", (F.col("p") + 1).alias("sent_num"), "sentence")
+
+
+@query(rf"SELECT doc_id, n, regexp_full_match(x, '{T.THEMATIC_BREAK.replace(T.WS, Q.WS)}') AS thematic FROM (SELECT doc_id, n, n % 4 || CASE n % 3 WHEN 0 THEN '' ELSE repeat(CASE n % 2 WHEN 0 THEN '-' ELSE '* ' END, CAST(n % 5 AS INTEGER)) END AS y, CASE WHEN n % 7 = 0 THEN y ELSE substr(y, 2) END AS x FROM (SELECT doc_id, n_chars AS n FROM documents))")
+def thematic_breaks(spark, sf_dir):
+    n = F.col("n_chars")
+    y = F.concat((n % 4).cast("string"), F.when(n % 3 == 0, "").otherwise(F.expr("repeat(CASE WHEN n_chars % 2 = 0 THEN '-' ELSE '* ' END, cast(n_chars % 5 AS int))")))
+    return docs(spark, sf_dir).select("doc_id", n.alias("n"), T.is_thematic_break(F.when(n % 7 == 0, y).otherwise(F.substring(y, 2, 1 << 30))).alias("thematic"))
+
+
+@query("SELECT doc_id, regexp_replace(replace(text, '. ', '.' || repeat(chr(10), CAST(n_chars % 5 AS INTEGER))), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
+def newline_collapse(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.collapse_newlines(F.expr("replace(text, '. ', concat('.', repeat('\\n', cast(n_chars % 5 AS int))))")).alias("text"))
+
+
+@query(r"SELECT page_id, regexp_replace('[' || page_id || '](' || url || '/' || substr(html, 1, CAST(page_id % 300 AS INTEGER)) || ') ![x](' || url || ')', '(!?\[[^\]]*\])\(([^\n)]{147})[^\n)]{4,}\)', '\1(\2...)', 'g') AS link FROM pages")
+def url_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(F.expr("concat('[', page_id, '](', url, '/', substr(html, 1, cast(page_id % 300 AS int)), ') ![x](', url, ')')")).alias("link"))
+
+
+@query("SELECT n_regionkey, chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS md FROM nation GROUP BY n_regionkey")
+def md_table(spark, sf_dir):
+    from ..operators.tables import markdown_table
+
+    return markdown_table(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], by=["n_regionkey"], order=["n_nationkey"])
