@@ -7,6 +7,8 @@ and back again afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from .terminators import TERMINATORS
 
 WS = r"\s\x0b\x1c-\x1f\x85   -     　"
 BREAKS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
-TERM = "[" + TERMINATORS + "]"
-TERM_COLON = "[" + TERMINATORS + ":]"
+# ASCII first: most characters need no look at the long rest
+_FAR = r"[[^\x00-\x7f]&&[" + "".join(c for c in TERMINATORS if c > "\x7f") + "]]"
+TERM = r"[.!?]|" + _FAR
+TERM_COLON = r"[.!?:]|" + _FAR
 #: Characters that stand for protected ones, and the mark of a boundary.
 BOUNDARY = ""
 _SECRET_FROM = TERMINATORS + ":\n\r\x0b\f\x1c\x1d\x1e\x85   \t"
@@ -27,7 +31,8 @@ PROTECTED = "(?s)(?:" + "|".join(rf"{q}.+?[\p{{Pf}}{q}]" for q in _QUOTES) + r"|
 LIST_MARKER = rf"[\n:][{WS}]*\p{{N}}\."
 _ABBREVIATION = r"(?<!(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,4}\.)"
 #: After a terminator (checked first, as it is rare), not after a short capitalised word, before what may begin a sentence.
-SENTENCE_END = rf"(?<={TERM}){_ABBREVIATION}(?=[{WS}]+[\p{{Lu}}\p{{Lo}}\p{{Lt}}]|[{WS}]*\n|[{WS}]*$)"
+_MAYBE_SPACE = r"(?=[\s\x0b\x1c-\x1f]|[^\x00-\x7f]|$)"
+SENTENCE_END = rf"{_MAYBE_SPACE}(?<={TERM}){_ABBREVIATION}(?=[{WS}]+[\p{{Lu}}\p{{Lo}}\p{{Lt}}]|[{WS}]*\n|[{WS}]*$)"
 
 THEMATIC_BREAK = rf"[{WS}]*(?:-[{WS}]*-{{2,}}|\*[{WS}]*\*{{2,}}|_[{WS}]*_{{2,}})[{WS}]*"
 SECTION_BREAK = (
@@ -37,23 +42,32 @@ SECTION_BREAK = (
 CLAUSE_END = rf"(?<=[;,’：—)&…])[{WS}]"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it: columns that are only named twice are also computed twice."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _sub(c: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
 def strip(c: Column) -> Column:
     """c without white space, of any script, at either end."""
-    return _sub(c, f"^[{WS}]+|[{WS}]+$", "")
+    space = f"[{WS}]"
+    return let(c, lambda t: F.when(F.left(t, F.lit(1)).rlike(space) | F.right(t, F.lit(1)).rlike(space), _sub(t, f"^[{WS}]+|[{WS}]+$", "")).otherwise(t))
 
 
 def rstrip(c: Column) -> Column:
-    return _sub(c, f"[{WS}]+$", "")
+    return let(c, lambda t: F.when(F.right(t, F.lit(1)).rlike(f"[{WS}]"), _sub(t, f"[{WS}]+$", "")).otherwise(t))
 
 
 def _protect(c: Column, pattern: str) -> Column:
     """Terminators, colons and white space inside the pattern's matches, moved out of the way."""
-    between, inside = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    return F.when(F.size(inside) == 0, c).otherwise(F.array_join(F.zip_with(between, inside, lambda a, b: F.concat(a, F.coalesce(F.translate(b, _SECRET_FROM, _SECRET_TO), F.lit("")))), ""))
+
+    def moved(t: Column, inside: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(t, pattern, -1), inside, lambda a, b: F.concat(a, F.coalesce(F.translate(b, _SECRET_FROM, _SECRET_TO), F.lit("")))), "")
+
+    return let(c, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda inside: F.when(F.size(inside) == 0, t).otherwise(moved(t, inside))))
 
 
 def _reveal(c: Column) -> Column:
@@ -66,7 +80,7 @@ def raw_sentences(text: Column) -> Column:
     A flattened numbered list is put on lines of its own, quotations and brackets aren't split, list
     numbers stay with the line before, and a sentence ends at a terminator before a capital or uncased letter or a
     line's end, unless a capitalised word of two to five letters stands before the dot."""
-    t = _sub(strip(text), rf"(?<={TERM_COLON})[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "\n $1")
+    t = _sub(strip(text), rf"{_MAYBE_SPACE}(?<={TERM_COLON})[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "\n $1")
     t = _protect(_protect(t, PROTECTED), LIST_MARKER)
     pieces = F.split(strip(t), SENTENCE_END, -1)
     lines = F.flatten(F.transform(pieces, lambda p: F.split(strip(p), BREAKS, -1)))
@@ -75,16 +89,17 @@ def raw_sentences(text: Column) -> Column:
 
 def clean_sentences(sentences: Column) -> Column:
     """Blank sentences go; one of punctuation alone is added to the one before (its first five characters), or, in front, kept with its first two; thematic breaks stay; white space at the end goes."""
-    kept = F.filter(sentences, lambda s: s.rlike(f"[^{WS}]"))
-    bare = F.transform(kept, strip)
 
     def marked(s: Column, i: Column) -> Column:
-        core = strip(s)
-        only = core.rlike(r"^[^\p{L}\p{N}_]+$") & ~core.rlike(f"^{THEMATIC_BREAK}$")
-        return F.when(~only, F.concat(F.lit(BOUNDARY), rstrip(s))).when(i == 0, F.concat(F.lit(BOUNDARY), F.left(core, F.lit(2)))).otherwise(F.left(core, F.lit(5)))
+        def mark(core: Column) -> Column:
+            only = core.rlike(r"^[^\p{L}\p{N}_]+$") & ~core.rlike(f"^{THEMATIC_BREAK}$")
+            return F.when(~only, F.concat(F.lit(BOUNDARY), rstrip(s))).when(i == 0, F.concat(F.lit(BOUNDARY), F.left(core, F.lit(2)))).otherwise(F.left(core, F.lit(5)))
 
-    joined = F.array_join(F.transform(kept, marked), "")
-    return F.when(sentences.isNull(), None).when(F.size(bare) == 0, F.array().cast("array<string>")).otherwise(F.slice(F.split(joined, BOUNDARY, -1), 2, 1 << 30))
+        return let(strip(s), mark)
+
+    kept = F.filter(sentences, lambda s: s.rlike(f"[^{WS}]"))
+    # without any, the text joined is empty, and has no boundary to split at
+    return F.slice(F.split(F.array_join(F.transform(kept, marked), ""), BOUNDARY, -1), 2, 1 << 30)
 
 
 def sentences(text: Column) -> Column:

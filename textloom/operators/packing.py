@@ -11,6 +11,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql.functions import arrow_udf
+
 from ..errors import CallbackError
 
 Counter = Callable[[str], int]
@@ -151,3 +155,26 @@ class Finder:
         clean = "".join(c for c in chunk if c.isalnum())
         pos = self.clean.find(clean) if clean else -1
         return (self.at[pos], self.at[pos] + len(clean) + 1) if pos >= 0 else (-1, -1)
+
+
+def packed_paragraphs(paragraphs: list[str], most: int = 4000, joiner: str = "\n") -> list[str]:
+    """Paragraphs put together to sections of at most `most` characters, joiners not counted; a longer paragraph is a section."""
+    out: list[list[str]] = []
+    size = 0
+    for p in paragraphs:
+        if not out or size + len(p) > most:
+            out.append([])
+            size = 0
+        out[-1].append(p)
+        size += len(p)
+    return [joiner.join(s) for s in out]
+
+
+def pack_paragraphs(paragraphs: Column, most: int = 4000, joiner: str = "\n") -> Column:
+    """The same over a column of arrays."""
+
+    @arrow_udf("array<string>")
+    def f(a: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else packed_paragraphs(p, most, joiner) for p in a.to_pylist()], pa.list_(pa.string()))
+
+    return f.asNondeterministic()(paragraphs)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import sentences as S
+from ..operators import spans as P
 from ..operators.documents import chunk_documents, words
+from ..operators.packing import pack_paragraphs
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +153,170 @@ def md_table(spark, sf_dir):
     from ..operators.tables import markdown_table
 
     return markdown_table(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"], by=["n_regionkey"], order=["n_nationkey"])
+
+
+def overlap_sql(source: str, sentences: str, sections: int | None) -> str:
+    """Packing by at most `sentences` sentences (and sections, if given) with an overlap of 20 %, sentence by sentence."""
+    head = Q.section_break("s")
+    flat = f"flatten([{Q.clauses('h')} FOR h IN held])"
+    n = f"CAST(round_even(len({flat}) * 20 / 100.0, 0) AS BIGINT)"
+    last = f"CASE WHEN {n} = 0 THEN CAST([] AS VARCHAR[]) ELSE {flat}[-{n}:] END"
+    marked = "[CASE WHEN i = 1 AND c <> '' AND NOT regexp_matches(c, '^\\p{Lu}') THEN '... ' || c ELSE c END FOR c, i IN last]"
+    full = f"n + 1 > {sentences}" + (f" OR (head AND heads + 1 > {sections})" if sections else "")
+    count = f"len([c FOR c IN carried IF {Q.section_break('c')}])" if sections else "0"
+    return f"""{source},
+steps AS (SELECT doc_id, sent_num AS k, {head} AS head, CASE WHEN {head} THEN chr(10) || s ELSE s END AS s FROM (SELECT doc_id, sent_num, sentence AS s FROM sents)),
+fold AS (
+  SELECT doc_id, k, [s] AS held, 1 AS n, CAST(head AS INTEGER) AS heads, 1 AS num, CAST(NULL AS VARCHAR[]) AS done FROM steps WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN full_ THEN list_append(carried, s) ELSE list_append(held, s) END, CASE WHEN full_ THEN len(carried) ELSE n END + 1,
+    CAST(CASE WHEN full_ THEN {count} ELSE heads END + CAST(head AS INTEGER) AS INTEGER), num + CAST(full_ AS INTEGER), CASE WHEN full_ THEN held END
+  FROM (SELECT *, {marked} AS carried FROM (SELECT *, {last} AS last FROM (
+    SELECT f.doc_id, t.k, f.held, f.n, f.heads, f.num, t.s, t.head, ({full.replace('head ', 't.head ')}) AS full_ FROM fold f JOIN steps t ON t.doc_id = f.doc_id AND t.k = f.k + 1)))
+),
+every AS (SELECT doc_id, num - 1 AS num, done AS held FROM fold WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(num), max_by(held, k) FROM fold GROUP BY doc_id)
+SELECT doc_id, CAST(num AS INTEGER) AS chunk_num, {Q.strip("array_to_string(held, chr(10))")} AS content FROM every"""
+
+
+@query(overlap_sql(f"WITH RECURSIVE {Q.SENTENCE_TABLE}", 3, None))
+def chunk_overlap(spark, sf_dir):
+    return chunk_documents(docs(spark, sf_dir).select("doc_id", "text"), max_sentences=3, overlap_percent=20).select("doc_id", "chunk_num", "content")
+
+
+@query(overlap_sql(f"WITH RECURSIVE {Q.SENTENCE_TABLE.replace('docs AS', 'docs0 AS', 1).replace('FROM docs)', 'FROM docs0)').replace('sents AS', 'sents0 AS', 1)}, {_HEADED.replace('FROM sents', 'FROM sents0')}, sents AS (SELECT doc_id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) AS INTEGER) AS sent_num FROM (SELECT doc_id, {Q.sentences('text')} AS s FROM headed))", 6, 2))
+def chunk_hybrid(spark, sf_dir):
+    return chunk_documents(headed(spark, sf_dir), max_sentences=6, max_section_breaks=2, overlap_percent=20).select("doc_id", "chunk_num", "content")
+
+
+#: Without clause marks a sentence is one clause, which fits whole or not at all.
+_NO_CLAUSES = "[;,’：—)&…]"
+
+
+@query(
+    f"""WITH RECURSIVE {Q.SENTENCE_TABLE.replace("{s}", "").replace(Q.sentences("text"), Q.sentences("text").replace("text", "regexp_replace(text, '" + _NO_CLAUSES + "', '', 'g')"))},
+steps AS (SELECT doc_id, sent_num AS k, CASE WHEN {Q.section_break("sentence")} THEN chr(10) || sentence ELSE sentence END AS s, {Q.word_tokens("sentence")} AS n FROM sents),
+fold AS (
+  SELECT doc_id, k, CASE WHEN n > 60 THEN regexp_replace(s, '[/\\\\]', ' ', 'g') || '...' ELSE s END AS s, CASE WHEN n > 60 THEN 0 ELSE n END AS t, 1 AS num FROM steps WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.k, p.s, CASE WHEN f.t + p.n > 60 THEN p.n ELSE f.t + p.n END, f.num + CAST(f.t + p.n > 60 AS INTEGER) FROM fold f JOIN steps p ON p.doc_id = f.doc_id AND p.k = f.k + 1
+)
+SELECT doc_id, CAST(num AS INTEGER) AS chunk_num, {Q.strip("string_agg(s, chr(10) ORDER BY k)")} AS content FROM fold GROUP BY doc_id, num"""
+)
+def chunk_tokens(spark, sf_dir):
+    plain = docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", _NO_CLAUSES, "").alias("text"))
+    return chunk_documents(plain, max_tokens=60, overlap_percent=0, token_counter=words).select("doc_id", "chunk_num", "content")
+
+
+@query()
+def chunk_tokens_fit(spark, sf_dir):
+    """Token limits with clauses fitted onto chunks, overlap and spans; the tests hold it against a procedure in Python."""
+    c = chunk_documents(docs(spark, sf_dir).select("doc_id", "text"), max_tokens=60, overlap_percent=20, token_counter=words)
+    return c.select("doc_id", "chunk_num", "content", "span.start", "span.end", "n_tokens")
+
+
+_CHUNKS3 = f"WITH {Q.SENTENCE_TABLE}, chunks AS (SELECT doc_id, lang, CAST((sent_num - 1) // 3 + 1 AS INTEGER) AS chunk_num, {Q.strip(f'string_agg({_HEAD}, chr(10) ORDER BY sent_num)')} AS content FROM sents GROUP BY doc_id, lang, (sent_num - 1) // 3)"
+
+
+def _chunks3(spark, sf_dir):
+    return chunk_documents(docs(spark, sf_dir).select("doc_id", "lang", "text"), max_sentences=3, overlap_percent=0, spans=False)
+
+
+@query(f"{_CHUNKS3} SELECT doc_id, count(*) AS chunk_count, CAST(sum(length(content)) AS BIGINT) AS text_length, CAST(max(length(content)) AS INTEGER) AS longest_chunk FROM chunks GROUP BY doc_id")
+def chunk_stats(spark, sf_dir):
+    return P.chunk_stats(_chunks3(spark, sf_dir), ["doc_id"])
+
+
+@query(f"{_CHUNKS3} SELECT lang, source, count(*) AS chunks, count(DISTINCT doc_id) AS docs, CAST(sum(length(content)) AS BIGINT) AS letters FROM chunks JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY ROLLUP (lang, source)")
+def stats_rollup(spark, sf_dir):
+    c = chunk_documents(docs(spark, sf_dir).select("doc_id", "lang", "source", "text"), max_sentences=3, overlap_percent=0, spans=False)
+    return c.rollup("lang", "source").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("content")).alias("letters"))
+
+
+_PLACED = f"""WITH {Q.SENTENCE_TABLE}, placed AS (SELECT doc_id, sent_num AS chunk_num, CAST(strpos(text, sentence) - 1 AS INTEGER) AS start, CAST(strpos(text, sentence) - 1 + length(sentence) + 15 AS INTEGER) AS "end" FROM sents WHERE strpos(text, sentence) > 0)"""
+
+
+def _placed(spark, sf_dir):
+    """Sentences as chunks that run fifteen characters into what follows."""
+    d = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(S.sentence_column(F.col("text"))).alias("p", "sentence"))
+    at = F.position("sentence", "text") - 1
+    return d.select("doc_id", (F.col("p") + 1).alias("chunk_num"), at.alias("start"), (at + F.length("sentence") + 15).alias("end")).where("start >= 0")
+
+
+@query(
+    f"""{_PLACED} SELECT doc_id, chunk_num, greatest(start, s2) AS overlap_start, least("end", e2) AS overlap_end FROM (
+SELECT *, lead(start) OVER w AS s2, lead("end") OVER w AS e2 FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY start, "end", chunk_num)) WHERE greatest(start, s2) < least("end", e2) AND s2 IS NOT NULL"""
+)
+def chunk_overlaps(spark, sf_dir):
+    return P.overlaps(_placed(spark, sf_dir))
+
+
+@query(
+    f"""{_PLACED}, edges AS (SELECT DISTINCT doc_id, unnest([start, "end"]) AS e FROM placed),
+pieces AS (SELECT doc_id, e AS start, lead(e) OVER (PARTITION BY doc_id ORDER BY e) AS "end" FROM edges),
+inside AS (SELECT p.doc_id, p.start, p."end", c.chunk_num, row_number() OVER (PARTITION BY p.doc_id, p.start ORDER BY c.start, c.chunk_num) AS r FROM pieces p JOIN placed c ON p.doc_id = c.doc_id AND c.start <= p.start AND p.start < c."end" WHERE p."end" IS NOT NULL)
+SELECT doc_id, start, "end", count(*) AS n, CAST(min(chunk_num) AS INTEGER) AS first FROM inside WHERE r <= 2 GROUP BY ALL"""
+)
+def position_cover(spark, sf_dir):
+    c = P.cover(_placed(spark, sf_dir))
+    return c.select("doc_id", "start", "end", F.size("chunks").cast("long").alias("n"), F.array_min("chunks").alias("first"))
+
+
+@query(
+    f"""WITH RECURSIVE {Q.SENTENCE_TABLE}, fold AS (
+  SELECT doc_id, sent_num AS k, sentence, length(sentence) AS size, 1 AS num FROM sents WHERE sent_num = 1
+  UNION ALL
+  SELECT s.doc_id, s.sent_num, s.sentence, CASE WHEN f.size + length(s.sentence) > 4000 THEN length(s.sentence) ELSE f.size + length(s.sentence) END, f.num + CAST(f.size + length(s.sentence) > 4000 AS INTEGER) FROM fold f JOIN sents s ON s.doc_id = f.doc_id AND s.sent_num = f.k + 1)
+SELECT doc_id, CAST(num AS INTEGER) AS section_num, string_agg(sentence, chr(10) ORDER BY k) AS text FROM fold GROUP BY doc_id, num"""
+)
+def para_pack(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", S.sentence_column(F.col("text")).alias("s"))
+    return d.select("doc_id", F.posexplode(pack_paragraphs(F.col("s"))).alias("k", "text")).select("doc_id", (F.col("k") + 1).alias("section_num"), "text")
+
+
+_PAPER = "replace(replace(replace(text, '. ', '.' || chr(10) || chr(10) || ' ' || chr(10) || (n_chars % 9) || '.' || chr(10)), ', ', chr(10) || (n_chars % 90) || chr(10)), ' a', ' Page 3 of 9 x' || chr(10) || 'a')"
+
+
+def _paper_sql(x: str) -> str:
+    x = Q.sub(x, rf"(?:\n[{Q.WS}]*){{2,}}", "CAST(chr(10) AS VARCHAR)")
+    x = Q.sub(x, r"(\n[\p{L}\p{N}_][.\-)*])\n", r"\1 ")
+    x = Q.sub(x, rf"\n[{Q.WS}]*\p{{Nd}}+[{Q.WS}]*\n", "")
+    return Q.sub(x, rf"Page \p{{Nd}}+ of \p{{Nd}}+[^\n]*|-[{Q.WS}]*\p{{Nd}}+[{Q.WS}]*-|[{Q.WS}]*\|[{Q.WS}]*Page[{Q.WS}]+\p{{Nd}}+[{Q.WS}]*\|[{Q.WS}]*", "")
+
+
+@query(f"SELECT doc_id, {_paper_sql(_PAPER)} AS text FROM documents")
+def paper_cleanup(spark, sf_dir):
+    t = F.expr(_PAPER.replace("chr(10)", "char(10)").replace("(n_chars % 9)", "cast(n_chars % 9 as string)").replace("(n_chars % 90)", "cast(n_chars % 90 as string)"))
+    return docs(spark, sf_dir).select("doc_id", T.paper_cleanup(t).alias("text"))
+
+
+@query()
+def html_markdown(spark, sf_dir):
+    """Pages as Markdown, addresses cut, blank lines collapsed."""
+    from ..sources.readers import html_column
+
+    return table(spark, sf_dir, "pages").select("page_id", "url", html_column(F.col("html")).alias("markdown"))
+
+
+#: Code to chunk, made of the parts: a function for each, a text for each brand.
+def _code(spark, sf_dir):
+    m = F.concat(F.lit("def part_"), F.col("p_partkey"), F.lit("(self):\n    size = "), F.col("p_size"), F.lit("\n    return size * "), F.col("p_partkey"), F.lit("\n"))
+    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", m.alias("m")))).alias("ms"))
+    return g.select("p_brand", F.array_join("ms.m", "\n").alias("code"))
+
+
+@query(
+    """WITH m AS (SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS k, p_partkey, 'def part_' || p_partkey || '(self):' || chr(10) || '    size = ' || p_size || chr(10) || '    return size * ' || p_partkey AS body FROM part),
+last AS (SELECT p_brand, max(k) AS n FROM m GROUP BY p_brand)
+SELECT p_brand, k AS chunk_num, CASE WHEN k < n THEN body || chr(10) ELSE body END AS content, 'global' || chr(10) || '└─ def part_' || p_partkey || '(' AS tree, CAST((k - 1) * 4 + 1 AS INTEGER) AS start_line, CAST(k * 4 - CASE WHEN k < n THEN 0 ELSE 1 END AS INTEGER) AS end_line FROM m JOIN last USING (p_brand)"""
+)
+def code_chunks(spark, sf_dir):
+    from ..operators.code import chunk_code
+
+    return chunk_code(_code(spark, sf_dir), max_functions=1).select("p_brand", "chunk_num", "content", "tree", "start_line", "end_line")
+
+
+@query("SELECT p_brand, CAST(count(*) AS INTEGER) AS functions FROM part GROUP BY p_brand")
+def func_decl_count(spark, sf_dir):
+    from ..operators.code import declarations
+
+    return _code(spark, sf_dir).select("p_brand", declarations(F.col("code")).alias("functions"))
