@@ -33,7 +33,11 @@ def detect(text: Column) -> Column:
     """struct code, confidence; ('und', 0) for text that nothing is known of, null for null."""
     words = F.split(F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), " ")
     letters = F.lower(text)
-    scores = [F.struct(F.size(F.filter(words, lambda w, c=c: F.array_contains(F.array(*map(F.lit, c.split())), w))).cast("double").alias("s"), F.lit(k).alias("k")) for k, c in COMMON.items()]
+
+    def common(of: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*of.split()))).cast("double")
+
+    scores = [F.struct(common(c).alias("s"), F.lit(k).alias("k")) for k, c in COMMON.items()]
     scores += [F.struct((F.regexp_count(letters, F.lit(p)) / (20.0 if k == "zh" else 2.0)).cast("double").alias("s"), F.lit(k).alias("k")) for k, p in SCRIPTS.items()]
     every = F.array(*scores)
     best = F.array_max(every)

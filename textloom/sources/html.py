@@ -10,6 +10,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "figure", "figcaption", "form", "fieldset", "address", "dl", "dt", "dd", "details", "summary", "body", "html", "center", "caption"}
 _MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
 _CELLS = {"td", "th"}
+#: Stands for a space that is to stay, until all is tidied.
+_KEPT = "\ue000"
 
 
 class _Node:
@@ -58,7 +60,7 @@ class _Markdown:
         if n.tag in _SKIPPED:
             return ""
         if n.tag == "pre":
-            body = self.inline(n, True).strip("\n")
+            body = re.sub(r"(?m)^[ \t]+", lambda m: _KEPT * len(m[0].expandtabs(4)), self.inline(n, True).strip("\n"))
             return f"\n\n```\n{body}\n```\n\n"
         if n.tag == "br":
             return "\n" if raw else "  \n"
@@ -144,4 +146,4 @@ def to_markdown(html: str, longest_url: int = 150) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return truncated(tidy(_Markdown().inline(tree.root)), longest_url)
+    return truncated(tidy(_Markdown().inline(tree.root)).replace(_KEPT, " "), longest_url)
