@@ -113,8 +113,24 @@ def _alike(key, doc, piece):
 _VARIANT = ["u8", "i8", "i4", "i4", "i4", "i4"]
 
 
+FORM = "tl_doc long, line int, form string"
+
+
 def _variants(buckets: int):
-    """Variants of the pieces: key, line, and the place of the missing character (-1: none; from -2 down: it makes a longer line into a shorter one)."""
+    """Variants of the pieces: key, line, and the place of the missing character (-1: none; from -2 down: it makes a longer line into a shorter one).
+
+    In the same table, rows with the normal forms of the lines: they are what is compared, and the texts needn't be gone through again for them."""
+    no_form = (("tl_doc", pa.int64()), ("line", pa.int32()), ("form", pa.string()))
+
+    def scattered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield _batch(**{n: batch.column(n) for n in batch.schema.names}, **{n: pa.nulls(len(batch), t) for n, t in no_form})
+
+    def forms(ids, row, line, first, last, cp) -> pa.RecordBatch:
+        _, one = np.unique(np.stack([row, line]), axis=1, return_index=True)
+        text = [K.lowered(cp[a:b]).tobytes().decode("utf-32-le") for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)]
+        empty = {"bucket": pa.nulls(len(one), pa.int32())} | {f"c{k}": pa.nulls(len(one), pa.binary()) for k in range(len(_VARIANT))}
+        return _batch(**empty, tl_doc=pa.array(ids[row[one]], pa.int64()), line=pa.array(line[one], pa.int32()), form=pa.array(text, pa.string()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Scatter(buckets, _VARIANT)
@@ -141,13 +157,15 @@ def _variants(buckets: int):
                 place = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                 i = s[of] + place
                 variant = K.mix(_raw(h, inverse, s[of], i) + (h[e[of]] - h[i + 1]) * inverse[s[of] + 1])
-                yield from out.add(bucket_of(variant, buckets), variant, ids[a:b][row[of]], line[of], np.where(role[of] == 1, -2 - place, place), x.start[at_line[of]] - at[row[of]], x.end[at_line[of]] - at[row[of]])
+                yield from scattered(out.add(bucket_of(variant, buckets), variant, ids[a:b][row[of]], line[of], np.where(role[of] == 1, -2 - place, place), x.start[at_line[of]] - at[row[of]], x.end[at_line[of]] - at[row[of]]))
                 whole = np.flatnonzero((role == 0) & (e > s))
                 _, one = np.unique(np.stack([row[whole], line[whole]]), axis=1, return_index=True)
                 whole = whole[one]
                 key = K.span_hash(h, s[whole], e[whole])
-                yield from out.add(bucket_of(key, buckets), key, ids[a:b][row[whole]], line[whole], np.full(len(whole), -1), x.start[at_line[whole]] - at[row[whole]], x.end[at_line[whole]] - at[row[whole]])
-        yield from out.flush()
+                yield from scattered(out.add(bucket_of(key, buckets), key, ids[a:b][row[whole]], line[whole], np.full(len(whole), -1), x.start[at_line[whole]] - at[row[whole]], x.end[at_line[whole]] - at[row[whole]]))
+                if len(row):
+                    yield forms(ids[a:b], row, line, s, e, cp)
+        yield from scattered(out.flush())
 
     return rows
 
@@ -171,26 +189,6 @@ def _meet(key, doc, line, place, start, end):
     yield _batch(doc_id=doc[at], line=line[at], start=start[at], end=end[at], kept_doc_id=doc[p], kept_line=line[p])
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Normal forms of the wanted lines (doc_id, line): they are what is compared."""
-    lists = durable(wanted.groupBy(F.col("doc_id").alias("tl_doc")).agg(F.collect_set("line").alias("lines")))
-
-    def rows(batches):
-        for batch in batches:
-            doc, line, text = [], [], []
-            for i, t, numbers in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                split = (t or "").split("\n")
-                for n in sorted(numbers):
-                    if n < len(split):
-                        doc.append(i)
-                        line.append(n)
-                        cp = np.frombuffer(split[n].strip().encode("utf-32-le"), np.uint32)
-                        text.append(K.lowered(cp).tobytes().decode("utf-32-le"))
-            yield _batch(doc_id=pa.array(doc, pa.int64()), line=pa.array(line, pa.int32()), form=pa.array(text, pa.string()))
-
-    return joined(docs, lists, "tl_doc").select("tl_doc", "tl_text", "lines").mapInArrow(rows, "doc_id long, line int, form string").distinct()
-
-
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines to remove: doc_id, line, start, end (code points), the earlier line that stays for it, and their edit distance, 0 or 1.
 
@@ -206,11 +204,13 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     exact = first.where("bucket is null").select("doc_id", "line", "start", "end", "kept_doc_id", "kept_line", "distance")
     alike = block_reduce(first.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n, ["u8", "i8", "i4"], _alike, "tl_doc long, piece int")
     pieces = durable(alike.groupBy("tl_doc").agg(F.collect_set("piece").alias("pieces")))
-    variants = joined(own, pieces, "tl_doc").select("tl_doc", "tl_text", "pieces").mapInArrow(_variants(n), Scatter(n, _VARIANT).schema)
+    scatter = Scatter(n, _VARIANT)
+    second = durable(joined(own, pieces, "tl_doc").select("tl_doc", "tl_text", "pieces").mapInArrow(_variants(n), f"{scatter.schema}, {FORM}"))
+    variants = second.where("bucket is not null").drop("tl_doc", "line", "form")
     met = block_reduce(variants, n, _VARIANT, _meet, "doc_id long, line int, start int, end int, kept_doc_id long, kept_line int")
     pairs = durable(met.distinct())
-    forms = durable(_texts(own, pairs.select("doc_id", "line").union(pairs.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line").alias("line")))))
-    a, b = forms.select("doc_id", "line", "form"), forms.select(F.col("doc_id").alias("kept_doc_id"), F.col("line").alias("kept_line"), F.col("form").alias("kept_form"))
+    forms = second.where("bucket is null").select(F.col("tl_doc").alias("doc_id"), "line", "form").distinct()
+    a, b = forms, forms.select(F.col("doc_id").alias("kept_doc_id"), F.col("line").alias("kept_line"), F.col("form").alias("kept_form"))
     near = (
         pairs.join(a, ["doc_id", "line"])
         .join(b, ["kept_doc_id", "kept_line"])
