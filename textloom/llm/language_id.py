@@ -89,8 +89,9 @@ def _gram_counts(texts: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     for k in range(s.order):
         code = code * s.symbols + sym[k : len(sym) - s.order + 1 + k]
     row = np.repeat(np.arange(n), np.diff(off))[: len(code)]
-    # a text's n-grams end at the space in front of the next text at the latest
-    ok = (np.arange(len(code)) + s.order - 1 <= off[1:][row]) & (code > 0)
+    # a text's n-grams end at the space in front of the next text at the latest, or at its own last one
+    last = off[1:] - (sym[off[1:] - 1] == 0)
+    ok = (np.arange(len(code)) + s.order - 1 <= last[row]) & (code > 0)
     code, row = code[ok], row[ok]
     there = np.zeros(s.symbols**s.order, bool)
     there[code] = True
