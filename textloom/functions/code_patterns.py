@@ -16,7 +16,7 @@ STRING_ASSIGNED = re.compile(
     r"^(?:\w+\s*){1,2}(?::\s*[^:=]+)?\s*:?=\s*"
     + _any(
         r"(?P<q>'''|\"\"\").*?(?P=q)\s*",
-        r"\[=?\[.*?\]=?\]\s*",
+        r"\[(?P<eq>=?)\[.*?\](?P=eq)\]\s*",
         r"`[^`]*`\s*",
         r"@\"\n.*?\n\"@\s*",
         r"q{1,2}[\[{(<|].*?[\]})>|]\s*",

@@ -1,4 +1,4 @@
-"""The universal sentence splitter once more in Python, for single texts outside of a plan."""
+"""What the column expressions do, once more in Python for single texts outside of a plan: above all the universal sentence splitter."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import unicodedata
 from .terminators import TERMINATORS
 
 _TERMS = frozenset(TERMINATORS)
+_GAP = re.compile("\n\n\n+")
 _OPEN = "«‘‛“‟‹⸂⸄⸉⸌⸜⸠'\""
 _MOVED = {c: chr(0xF100 + k) for k, c in enumerate(TERMINATORS + ":\n\r\x0b\f\x1c\x1d\x1e\x85   \t")}
 _BACK = str.maketrans({v: k for k, v in _MOVED.items()})
@@ -18,6 +19,11 @@ _SHORT = re.compile(r"(?:^|[^\w])([^\W\d_]{2,5})\.$")
 _RULE = re.compile(r"\s*(?:-\s*-{2,}|\*\s*\*{2,}|_\s*_{2,})\s*")
 
 
+def few_breaks(text: str) -> str:
+    """Three or more line breaks made two."""
+    return _GAP.sub("\n\n", text)
+
+
 def _protected(text: str) -> str:
     out, k = [], 0
     while k < len(text):

@@ -20,3 +20,5 @@ def _expand(codes: str) -> str:
 
 
 TERMINATORS = _expand(_CODES)
+#: Characters that end a clause before white space.
+CLAUSE_MARKS = ";,’：—)&…"

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terminators import TERMINATORS
+from .terminators import CLAUSE_MARKS, TERMINATORS
 
 WS = r"\s\x0b\x1c-\x1f\x85   -     　"
 BREAKS = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
@@ -31,15 +31,17 @@ PROTECTED = "(?s)(?:" + "|".join(rf"{q}.+?[\p{{Pf}}{q}]" for q in _QUOTES) + r"|
 LIST_MARKER = rf"[\n:][{WS}]*\p{{N}}\."
 _ABBREVIATION = r"(?<!(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,4}\.)"
 #: After a terminator (checked first, as it is rare), not after a short capitalised word, before what may begin a sentence.
+#: A letter that a sentence may begin with.
+BEGINNING = r"[\p{Lo}\p{Lt}\p{Lu}]"
 _MAYBE_SPACE = r"(?=[\s\x0b\x1c-\x1f]|[^\x00-\x7f]|$)"
-SENTENCE_END = rf"{_MAYBE_SPACE}(?<={TERM}){_ABBREVIATION}(?=[{WS}]+[\p{{Lu}}\p{{Lo}}\p{{Lt}}]|[{WS}]*\n|[{WS}]*$)"
+SENTENCE_END = rf"{_MAYBE_SPACE}(?<={TERM}){_ABBREVIATION}(?=[{WS}]+{BEGINNING}|[{WS}]*\n|[{WS}]*$)"
 
 THEMATIC_BREAK = rf"[{WS}]*(?:-[{WS}]*-{{2,}}|\*[{WS}]*\*{{2,}}|_[{WS}]*_{{2,}})[{WS}]*"
 SECTION_BREAK = (
     rf"(?i)^[{WS}]*(?:#{{1,6}}[{WS}]+[^\n]|(?:-[{WS}]*-{{2,}}|\*[{WS}]*\*{{2,}}|_[{WS}]*_{{2,}})[{WS}]*(?:\n|$)"
-    r"|</?(?:details|summary|section|article)\b[^>]*>|<hr" + rf"[{WS}]*/?>)"
+    r"|</?(?:article|details|section|summary)\b[^>]*>|<hr" + rf"[{WS}]*/?>)"
 )
-CLAUSE_END = rf"(?<=[;,’：—)&…])[{WS}]"
+CLAUSE_END = rf"(?<=[{CLAUSE_MARKS}])[{WS}]"
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -136,17 +138,31 @@ def collapse_newlines(text: Column) -> Column:
     return _sub(text, "\n{3,}", "\n\n")
 
 
+def long_link(longest: int) -> str:
+    """Pattern of a Markdown link or image whose address is longer than that: what is before the address, and as much of it as stays."""
+    return rf"(!?\[[^\]]*\])\(([^\n)]{{{longest - 3}}})[^\n)]{{4,}}\)"
+
+
 def truncate_urls(text: Column, longest: int = 150) -> Column:
     """Addresses of Markdown links and images cut to `longest` characters, the last three of them dots."""
-    return _sub(text, rf"(!?\[[^\]]*\])\(([^\n)]{{{longest - 3}}})[^\n)]{{4,}}\)", r"$1($2...)")
+    return _sub(text, long_link(longest), r"$1($2...)")
+
+
+_NUMBER = r"\p{Nd}+"
+#: Patterns and what they become, in this order: blank lines collapsed, list markers joined to their lines, lines of a number alone and page labels dropped.
+PAPER = (
+    (rf"(?:\n[{WS}]*){{2,}}", "\n"),
+    (r"(\n[\p{L}\p{N}_][)*.\-])\n", "$1 "),
+    (rf"\n[{WS}]*{_NUMBER}[{WS}]*\n", ""),
+    ("|".join((rf"Page {_NUMBER} of {_NUMBER}[^\n]*", rf"-[{WS}]*{_NUMBER}[{WS}]*-", rf"[{WS}]*\|[{WS}]*Page[{WS}]+{_NUMBER}[{WS}]*\|[{WS}]*")), ""),
+)
 
 
 def paper_cleanup(text: Column) -> Column:
-    """What the pages of a paper need: blank lines collapsed, list markers joined to their lines, page numbers and page labels dropped; in this order."""
-    t = _sub(text, rf"(?:\n[{WS}]*){{2,}}", "\n")
-    t = _sub(t, r"(\n[\p{L}\p{N}_][.\-)*])\n", "$1 ")
-    t = _sub(t, rf"\n[{WS}]*\p{{Nd}}+[{WS}]*\n", "")
-    return _sub(t, rf"Page \p{{Nd}}+ of \p{{Nd}}+[^\n]*|-[{WS}]*\p{{Nd}}+[{WS}]*-|[{WS}]*\|[{WS}]*Page[{WS}]+\p{{Nd}}+[{WS}]*\|[{WS}]*", "")
+    """What the pages of a paper need."""
+    for pattern, to in PAPER:
+        text = _sub(text, pattern, to)
+    return text
 
 
 def latex_cleanup(text: Column) -> Column:

@@ -15,6 +15,7 @@ from itertools import accumulate
 from xml.etree import ElementTree
 
 from ..functions import code_patterns as P
+from ..functions.plain import few_breaks
 
 DOCSTRINGS = ("all", "summary", "excluded")
 _TAGGED = (("string", P.STRING_ASSIGNED), ("comment", P.WHOLE_LINE_COMMENT), ("comment", P.BLOCK_COMMENT), ("doc", P.DOC_BLOCK), ("doc", P.DOC_LINE), ("decorator", P.DECORATOR))
@@ -33,7 +34,7 @@ class Block:
 def is_python(code: str, path: str | None = None) -> bool:
     """By the path's extension, else by the first line or because it parses, else by a guess at its look."""
     if path:
-        return path.lower().endswith((".py", ".pyi", ".pyx", ".pyw"))
+        return bool(re.search(r"\.py[iwx]?$", path, re.I))
     if re.match(r"\s*#!/usr/bin/(?:env\s+)?python", code):
         return True
     try:
@@ -65,8 +66,9 @@ def _line_summary(m: re.Match) -> str:
         text = "" if found is None else ElementTree.tostring(found, encoding="unicode").strip("\n")
     except ElementTree.ParseError:
         found, text = None, ""
-    if found is None and raw.strip() and not re.fullmatch(r"\s*<[^>]*>\s*", raw):
-        text = raw.strip()
+    bare = raw.strip()
+    if found is None and not (bare[:1] == "<" and bare.find(">") == len(bare) - 1):
+        text = bare
     return (f"{m['mark']} {text}" if text else "") + _blanked(m)
 
 
@@ -199,7 +201,7 @@ def blocks(code: str, comments: bool = True, docstrings: str = "all", python: bo
                 above.append((m["name"], b.indent))
             if b.function:
                 above.append((b.function.strip(), b.indent))
-            b.content = re.sub(r"\n{3,}", "\n\n", b.content)
+            b.content = few_breaks(b.content)
         b.relations = [(x[0], y[0]) for x, y in zip(above, above[1:], strict=False)]
     return scan.blocks
 

@@ -16,10 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from ..errors import CallbackError
+from ..functions.terminators import CLAUSE_MARKS
+from ..functions.text import SECTION_BREAK
 
 Counter = Callable[[str], int]
-_CLAUSE = re.compile(r"(?<=[;,’：—)&…])\s")
-_SECTION = re.compile(r"\s*(?:#{1,6}\s+.|([-*_])\s*\1{2,}\s*$|</?(?:details|summary|section|article)\b[^>]*>|<hr\s*/?>)", re.I | re.M)
+_CLAUSE = re.compile(rf"(?<=[{CLAUSE_MARKS}])\s")
+_SECTION = re.compile(SECTION_BREAK)
 
 
 @dataclass(frozen=True)

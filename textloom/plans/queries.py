@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.terminators import CLAUSE_MARKS
 from ..operators import sentences as S
 from ..operators import spans as P
 from ..operators.documents import chunk_documents, words
@@ -143,7 +144,7 @@ def newline_collapse(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.collapse_newlines(F.expr("replace(text, '. ', concat('.', repeat('\\n', cast(n_chars % 5 AS int))))")).alias("text"))
 
 
-@query(r"SELECT page_id, regexp_replace('[' || page_id || '](' || url || '/' || substr(html, 1, CAST(page_id % 300 AS INTEGER)) || ') ![x](' || url || ')', '(!?\[[^\]]*\])\(([^\n)]{147})[^\n)]{4,}\)', '\1(\2...)', 'g') AS link FROM pages")
+@query("SELECT page_id, regexp_replace('[' || page_id || '](' || url || '/' || substr(html, 1, CAST(page_id % 300 AS INTEGER)) || ') ![x](' || url || ')', " + Q.lit(T.long_link(150)) + r", '\1(\2...)', 'g') AS link FROM pages")
 def url_truncate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(F.expr("concat('[', page_id, '](', url, '/', substr(html, 1, cast(page_id % 300 AS int)), ') ![x](', url, ')')")).alias("link"))
 
@@ -189,7 +190,7 @@ def chunk_hybrid(spark, sf_dir):
 
 
 #: Without clause marks a sentence is one clause, which fits whole or not at all.
-_NO_CLAUSES = "[;,’：—)&…]"
+_NO_CLAUSES = f"[{CLAUSE_MARKS}]"
 
 
 @query(
@@ -277,10 +278,9 @@ _PAPER = "replace(replace(replace(text, '. ', '.' || chr(10) || chr(10) || ' ' |
 
 
 def _paper_sql(x: str) -> str:
-    x = Q.sub(x, rf"(?:\n[{Q.WS}]*){{2,}}", "CAST(chr(10) AS VARCHAR)")
-    x = Q.sub(x, r"(\n[\p{L}\p{N}_][.\-)*])\n", r"\1 ")
-    x = Q.sub(x, rf"\n[{Q.WS}]*\p{{Nd}}+[{Q.WS}]*\n", "")
-    return Q.sub(x, rf"Page \p{{Nd}}+ of \p{{Nd}}+[^\n]*|-[{Q.WS}]*\p{{Nd}}+[{Q.WS}]*-|[{Q.WS}]*\|[{Q.WS}]*Page[{Q.WS}]+\p{{Nd}}+[{Q.WS}]*\|[{Q.WS}]*", "")
+    for pattern, to in T.PAPER:
+        x = Q.sub(x, pattern.replace(T.WS, Q.WS), "CAST(chr(10) AS VARCHAR)" if to == "\n" else to.replace("$", "\\"))
+    return x
 
 
 @query(f"SELECT doc_id, {_paper_sql(_PAPER)} AS text FROM documents")

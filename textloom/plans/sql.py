@@ -7,7 +7,7 @@ boundaries are marked, and then the text is split at the marks.
 from __future__ import annotations
 
 from ..functions import text as T
-from ..functions.terminators import TERMINATORS
+from ..functions.terminators import CLAUSE_MARKS, TERMINATORS
 
 _ESCAPES = {r"\x0b": r"\x0B", r"\x1c-\x1f": r"\x1C-\x1F", r"\x85": r"\x{85}"}
 WS = r"\s\x0B\x1C-\x1F\x{85}" + T.WS.split(r"\x85")[1]
@@ -41,7 +41,7 @@ def raw_pieces(text: str) -> str:
     t = sub(strip(text), rf"([{TERMINATORS}:])[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "\\1\n \\2")
     t = strip(_protect(_protect(t, T.PROTECTED), T.LIST_MARKER))
     t = sub(t, r"(^|[^\p{L}\p{N}_])(\p{Lu}\p{Ll}{1,4})\.", rf"\1\2{_ABBREVIATED}")
-    t = sub(t, rf"([{TERMINATORS}])([{WS}]+[\p{{Lu}}\p{{Lo}}\p{{Lt}}]|[{WS}]*\n|[{WS}]*$)", rf"\1{T.BOUNDARY}\2")
+    t = sub(t, rf"([{TERMINATORS}])([{WS}]+{T.BEGINNING}|[{WS}]*\n|[{WS}]*$)", rf"\1{T.BOUNDARY}\2")
     return f"string_split({t}, {lit(T.BOUNDARY)})"
 
 
@@ -66,7 +66,7 @@ def section_break(s: str) -> str:
 
 
 def clauses(s: str) -> str:
-    return f"string_split({sub(s, rf'([;,’：—)&…])[{WS}]', chr(92) + '1' + T.BOUNDARY)}, {lit(T.BOUNDARY)})"
+    return f"string_split({sub(s, rf'([{CLAUSE_MARKS}])[{WS}]', chr(92) + '1' + T.BOUNDARY)}, {lit(T.BOUNDARY)})"
 
 
 def word_tokens(s: str) -> str:

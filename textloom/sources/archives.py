@@ -150,6 +150,8 @@ def odt(content: bytes) -> tuple[list[str], dict[str, str]]:
 
 # --- epub
 
+_BOOK_KEYS = frozenset("contributor creator date publisher rights title".split())
+
 
 def epub(content: bytes) -> tuple[list[str], dict[str, str]]:
     """A section for each item of the spine."""
@@ -164,7 +166,7 @@ def epub(content: bytes) -> tuple[list[str], dict[str, str]]:
             items[x.get("id")] = posixpath.normpath(posixpath.join(folder, unquote(x.get("href", ""))))
         elif _name(x) == "itemref":
             order.append(x.get("idref"))
-        elif _name(x) in ("title", "creator", "contributor", "publisher", "date", "rights") and (x.text or "").strip():
+        elif _name(x) in _BOOK_KEYS and (x.text or "").strip():
             meta.setdefault(_name(x), []).append(x.text.strip())
     sections = []
     for k in order:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+from ..functions.plain import few_breaks
+from ..functions.text import long_link
+
 _SKIPPED = {"script", "style", "head", "template", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "figure", "figcaption", "form", "fieldset", "address", "dl", "dt", "dd", "details", "summary", "body", "html", "center", "caption"}
@@ -104,7 +107,7 @@ class _Markdown:
                     out.append("  " + self.items(x).strip("\n").replace("\n", "\n  "))
                 continue
             head = "* " if n.tag == "ul" else f"{k}. "
-            body = re.sub(r"\n{2,}", "\n", tidy(self.inline(x)))
+            body = "\n".join(filter(None, tidy(self.inline(x)).split("\n")))
             out.append(head + body.replace("\n", "\n" + " " * len(head)))
             k += 1
         return "\n\n" + "\n".join(out) + "\n\n" if out else ""
@@ -133,12 +136,12 @@ class _Markdown:
 def tidy(text: str) -> str:
     """White space around line breaks gone, three or more breaks made two."""
     text = re.sub(r"(?<! )[ \t]\n", "\n", re.sub(r"\n[ \t]+(?=\S)(?![*+\-\d`|])", "\n", text))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?=\n)", "\n", text)).strip()
+    return few_breaks(re.sub(r"\n[ \t]+(?=\n)", "\n", text)).strip()
 
 
 def truncated(text: str, longest: int = 150) -> str:
     """Addresses of links and images cut to `longest` characters, the last three of them dots."""
-    return re.sub(r"(!?\[[^\]]*\])\(([^)\n]*)\)", lambda m: m[0] if len(m[2]) <= longest else f"{m[1]}({m[2][: longest - 3]}...)", text)
+    return re.sub(long_link(longest), r"\1(\2...)", text)
 
 
 def to_markdown(html: str, longest_url: int = 150) -> str:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from ..functions.plain import few_breaks
+from ..functions.text import PAPER
+
 _LEVELS = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _ARGUMENT = r"\{((?:[^{}]|\{[^{}]*\})*)\}"
 _SYMBOLS = {"ldots": "…", "dots": "…", "LaTeX": "LaTeX", "TeX": "TeX", "quad": " ", "qquad": "  ", "times": "×", "alpha": "α", "beta": "β", "gamma": "γ", "pi": "π", "infty": "∞", "leq": "≤", "geq": "≥", "neq": "≠", "textbackslash": "\\", "S": "§", "copyright": "©"}
@@ -25,8 +28,8 @@ def latex_text(source: str) -> str:
     t = re.sub(r"\\\\(?:\[[^\]]*\])?", "\n", t)
     t = re.sub(r"\\([#$%&_{}])", r"\1", t).replace("~", " ").replace("``", "“").replace("''", "”")
     t = re.sub(r"(?<!\\)[{}]", "", t)
-    t = re.sub(r"§\.?", "#", re.sub(r"[ \t]+\n", "\n", t))
-    return re.sub(r"\n{2,}", "\n\n", t).strip()
+    lines = "\n".join(x.rstrip(" \t") for x in t.split("\n"))
+    return few_breaks(lines.replace("§.", "#").replace("§", "#")).strip()
 
 
 def rst_text(source: str) -> str:
@@ -68,7 +71,7 @@ def rst_text(source: str) -> str:
     t = re.sub(r"`([^`<]+?)\s*<([^>`]+)>`__?", r"[\1](\2)", t)
     t = re.sub(r":[\w:-]+:`([^`]+)`", r"\1", t)
     t = re.sub(r"^(\s*)[*+•] ", r"\1- ", t, flags=re.M)
-    return re.sub(r"\n{3,}", "\n\n", t).strip()
+    return few_breaks(t).strip()
 
 
 _RTF = re.compile(r"\\([a-z]{1,32})(-?\d{1,10})?[ ]?|\\'([0-9a-f]{2})|\\([^a-z])|([{}])|[\r\n]+|(.)", re.I | re.S)
@@ -122,9 +125,11 @@ def rtf_text(source: str) -> str:
     return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
 
 
+_PAPER = [(re.compile(p.replace(r"\p{Nd}", r"\d").replace(r"\p{L}\p{N}_", r"\w")), to.replace("$", "\\")) for p, to in PAPER]
+
+
 def paper_text(text: str) -> str:
-    """Blank lines collapsed, list markers joined to their lines, lines of a number alone and page labels dropped; in this order."""
-    t = re.sub(r"(?:\n\s*){2,}", "\n", text)
-    t = re.sub(r"(\n\w[.\-)*])\n", r"\1 ", t)
-    t = re.sub(r"\n\s*\d+\s*\n", "", t)
-    return re.sub(r"Page \d+ of \d+.*|-\s*\d+\s*-|\s*\|\s*Page\s+\d+\s*\|\s*", "", t)
+    """The clean-up of a paper's pages for one text."""
+    for pattern, to in _PAPER:
+        text = pattern.sub(to, text)
+    return text

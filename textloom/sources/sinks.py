@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
@@ -58,11 +59,9 @@ def write_folder(chunks: DataFrame, folder: str, metadata: bool = False, source:
         stem = re.sub(r"[^\w.-]+", "_", os.path.splitext(os.path.basename(str(r["metadata"].get(source) or "stdin")))[0]) or "stdin"
         counts[stem] = counts.get(stem, 0) + 1
         base = os.path.join(folder, f"{stem}_chunk_{counts[stem]}")
-        with open(f"{base}.txt", "w", encoding="utf-8") as f:
-            f.write(r["content"] or "")
+        Path(f"{base}.txt").write_text(r["content"] or "", encoding="utf-8")
         if metadata:
-            with open(f"{base}.json", "w", encoding="utf-8") as f:
-                json.dump(r["metadata"], f, ensure_ascii=False, indent=4, default=str)
+            Path(f"{base}.json").write_text(json.dumps(r["metadata"], ensure_ascii=False, indent=4, default=str), encoding="utf-8")
     return sum(counts.values())
 
 

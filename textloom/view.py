@@ -69,7 +69,7 @@ def handler(spark: SparkSession, counter=words) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8000, counter=words) -> None:
+def serve(spark: SparkSession, host: str, port: int, counter=words) -> None:
     with ThreadingHTTPServer((host, port), handler(spark, counter)) as server:
         print(f"http://{host}:{port}/")
         server.serve_forever()
