@@ -100,3 +100,18 @@ def test_errors(spark):
 def test_paragraphs():
     assert packed_paragraphs(["a" * 3000, "b" * 1000, "c", "d" * 5000]) == ["a" * 3000 + "\n" + "b" * 1000, "c", "d" * 5000]
     assert packed_paragraphs([]) == []
+
+
+def test_token_query_against_the_procedure(spark):
+    """The registered query's plan, document by document, against the splitter and the packing in Python."""
+    from textloom.functions.plain import plain_sentences
+    from textloom.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = {}
+    for r in QUERIES["chunk_tokens_fit"](spark, sf).orderBy("doc_id", "chunk_num").collect():
+        got.setdefault(r.doc_id, []).append((r.content, r.start, r.end))
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        find = Finder(d.text or "").find
+        want = [(c.strip(), *find(c.removeprefix("..."))) for c in pack(plain_sentences(d.text or ""), Limits(max_tokens=60, overlap_percent=20), words)]
+        assert got.get(d.doc_id, []) == want
