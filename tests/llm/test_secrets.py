@@ -74,6 +74,40 @@ def test_repeats_bombs_and_cycles():
     assert f["start"] == 1_000_000
 
 
+def test_base64_over_lines():
+    rng = random.Random(4)
+    for n in range(60):
+        inner = "".join(rng.choice("abcdefgh ") for _ in range(n)) + f" {KEY} " + " ".join(str(rng.random()) for _ in range(9))
+        for name in ("base64", "gzip", "zlib", "zstd", "bz2", "xz"):
+            coded = WRAPS[name](inner)
+            width = rng.choice([64, 76])
+            lines = rng.choice(["\n", "\r\n", "\n  "]).join(coded[k : k + width] for k in range(0, len(coded), width))
+            before = rng.choice(["", "body:\n", "first line\n", "x\n\n"])
+            (f,) = S.scan(f"{before}{lines}\nafter it")
+            assert f["rule"] == "aws_access_key" and len(before) <= f["start"] < f["end"] <= len(before) + len(lines)
+
+
+def test_base64_behind_letters():
+    for before in ("/files/x/", "a/", "name_", "name-", "file/name_x-", "k+", "word"):
+        for name in ("base64", "urlsafe", "gzip", "zlib", "zstd", "bz2", "xz"):
+            for after in ("", "/download/it", "_2"):
+                coded = WRAPS[name](f"say {KEY} now")
+                if "=" in coded and after:
+                    continue
+                (f,) = S.scan(f"see {before}{coded}{after} end")
+                assert 4 + len(before) <= f["start"] < f["end"] <= 4 + len(before) + len(coded), (before, name)
+    # nothing but the mark parts the secret from what stands before and behind it
+    for before in ("/files/x/", "name_", "name-", "a/", "ab/", "abc/"):
+        (f,) = S.scan(before + WRAPS["urlsafe"](KEY) + "/download/it")
+        assert f["fingerprint"] == S.scan(KEY)[0]["fingerprint"]
+
+
+def test_base64_one_a_line():
+    for pad in range(4):
+        lines = [WRAPS["urlsafe"](f"{KEY[:-1]}{c}" + " tail of it" * (k % 2) + "." * pad) for k, c in enumerate("ABCDEF")]
+        assert len(S.scan("\n".join(lines))) == 6
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, KEY, "x"), (2, None, "y"), (None, WRAPS["gzip"](KEY + " and more text"), "z"), (1, KEY, "x")], "doc_id long, text string, f string")
     rows = df.select("doc_id", S.scan_text(df).alias("v")).collect()

@@ -9,7 +9,6 @@ found anywhere is reported by its place in the document's text.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -48,7 +47,7 @@ RULES: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
 
 @dataclass(frozen=True)
 class Limits:
-    #: Shorter runs of base64 letters aren't decoded.
+    #: Shorter runs of base64 letters aren't decoded; line breaks inside them don't count.
     base64_chars: int = 20
     #: Share of a decoded text that must be printable.
     printable: float = 0.9
@@ -66,6 +65,8 @@ class Layer:
     ends: np.ndarray | None = None
     path: tuple[str, ...] = ()
     above: tuple[str, ...] = field(default=(), repr=False)
+    #: Where in the text one encoded piece may end and another begin, in order.
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -76,6 +77,11 @@ class Layer:
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _GAP = re.compile(r"\s")
+_BASE64 = "A-Za-z0-9+/_-"
+_LETTERS = re.compile(f"[{_BASE64}]+")
+#: How compressed data starts.
+_MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+_UTF8 = rb"[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 
 
 def _entropy(s: str) -> float:
@@ -115,27 +121,32 @@ def _escaped(text: str, pattern: re.Pattern, decode) -> Iterator[tuple[int, int,
         yield a, b, "".join([*out, text[at:b]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
-def _inflate(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """(kind, contents) of compressed data, or None if it isn't, or is broken or too long."""
+def _inflate(data: bytes | memoryview, limit: int) -> tuple[str, bytes, int] | None:
+    """(kind, contents, bytes it takes) of compressed data, or None if it isn't, or is broken or too long."""
+    head = bytes(data[:6])
     try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
+        if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0):
+            kind, d = "gzip" if head[0] == 0x1F else "zlib", zlib.decompressobj(47)
             out = d.decompress(data, limit + 1)
-            return ("gzip" if data[0] == 0x1F else "zlib", out) if d.eof and len(out) <= limit else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(limit + 1)
-            return ("zstd", out) if len(out) <= limit else None
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
+        elif head[:4] == b"\x28\xb5\x2f\xfd":
+            kind, d = "zstd", zstandard.ZstdDecompressor().decompressobj()
+            out, at = b"", 0
+            # a little at a time, as there is no limit to what a call returns
+            while at < len(data) and not d.eof and len(out) <= limit:
+                out += d.decompress(data[at : at + 512])
+                at += 512
+            return (kind, out, min(at, len(data)) - len(d.unused_data)) if d.eof and len(out) <= limit else None
+        elif head[:3] == b"BZh":
+            kind, d = "bz2", bz2.BZ2Decompressor()
             out = d.decompress(data, limit + 1)
-            return ("bz2", out) if d.eof and len(out) <= limit else None
-        if data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
+        elif head == b"\xfd7zXZ\x00":
+            kind, d = "xz", lzma.LZMADecompressor()
             out = d.decompress(data, limit + 1)
-            return ("xz", out) if d.eof and len(out) <= limit else None
+        else:
+            return None
     except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
         return None
-    return None
+    return (kind, out, len(data) - len(d.unused_data)) if d.eof and len(out) <= limit else None
 
 
 def _readable(data: bytes, limits: Limits) -> str | None:
@@ -148,16 +159,42 @@ def _readable(data: bytes, limits: Limits) -> str | None:
     return text
 
 
-def _unwrapped(layer: Layer, run: re.Pattern, limits: Limits) -> Iterator[Layer]:
+def _decoded(letters: str) -> bytes:
+    # three letters a byte short of four hold nothing when one is left over
+    whole = letters[: len(letters) - (len(letters) % 4 == 1)]
+    return binascii.a2b_base64(whole.replace("-", "+").replace("_", "/") + "=" * (-len(whole) % 4))
+
+
+def _base64_runs(text: str, run: re.Pattern, least: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(letters, their places in the text, numbers of the letters before which a line starts); a run goes on over single line breaks."""
+    for m in run.finditer(text):
+        parts = [x.span() for x in _LETTERS.finditer(text, *m.span())]
+        letters = "".join(text[x:y] for x, y in parts)
+        if len(letters) >= least:
+            yield letters, np.concatenate([np.arange(x, y) for x, y in parts]), np.cumsum([y - x for x, y in parts])[:-1]
+
+
+def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limits) -> Iterator[Layer]:
     text = layer.text
     above = (*layer.above, text)
 
-    def of(kind: tuple[str, ...], decoded: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[Layer]:
+    def of(kind: tuple[str, ...], decoded: str, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray | None = None) -> Iterator[Layer]:
         """The layer of a decoded stretch, unless it leads back."""
         if decoded and decoded not in above:
+            if cuts is None:
+                cuts = np.searchsorted(starts, layer.cuts)
             if layer.starts is not None:
                 starts, ends = layer.starts[starts], layer.ends[ends - 1]
-            yield Layer(decoded, starts, ends, (*layer.path, *kind), above)
+            yield Layer(decoded, starts, ends, (*layer.path, *kind), above, cuts)
+
+    def base64_text(decoded: str, first: int, at: np.ndarray, breaks: np.ndarray) -> Iterator[Layer]:
+        """The layer of a text whose bytes are from `first` on in those of the letters at `at`."""
+        # character i of the text is from its bytes on, four letters hold three bytes
+        size = np.fromiter((len(c.encode()) for c in decoded), np.int64, len(decoded))
+        last = first + np.cumsum(size)
+        starts, ends = at[(last - size) * 4 // 3], at[np.minimum(-(-last * 4 // 3), len(at)) - 1] + 1
+        cuts = np.searchsorted(last, np.maximum(breaks, 0) * 3 // 4, "right")
+        yield from of(("base64",), decoded, starts, ends, np.unique(cuts[(cuts > 0) & (cuts < len(decoded))]))
 
     if "%" in text:
         for _, _, decoded, starts, ends in _escaped(text, _PERCENT, lambda m: unquote_to_bytes(m).decode("utf-8", "replace")):
@@ -165,40 +202,64 @@ def _unwrapped(layer: Layer, run: re.Pattern, limits: Limits) -> Iterator[Layer]
     if "\\" in text or "&#" in text:
         for _, _, decoded, starts, ends in _escaped(text, _ESCAPE, _unescape):
             yield from of(("unicode",), decoded, starts, ends)
-    for m in run.finditer(text):
-        a, b = m.span()
-        letters = m.group().rstrip("=")
-        # three letters a byte short of four hold nothing when one is left over
-        whole = letters[: len(letters) - (len(letters) % 4 == 1)]
-        try:
-            data = base64.b64decode(whole.replace("-", "+").replace("_", "/") + "=" * (-len(whole) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        kind: tuple[str, ...] = ("base64",)
-        seen = {data}
-        while (inner := _inflate(data, limits.inflated)) is not None:
-            kind, data = (*kind, inner[0]), inner[1]
-            if data in seen:
-                data = b""
-            seen.add(data)
-        decoded = _readable(data, limits)
-        if decoded is None:
+    for letters, at, lines in _base64_runs(text, run, limits.base64_chars):
+        breaks = np.union1d(lines, np.searchsorted(at, layer.cuts)) if len(layer.cuts) else lines
+        data = _decoded(letters)
+        if not _MAGIC.match(data) and (decoded := _readable(data, limits)) is not None:
+            yield from base64_text(decoded, 0, at, breaks)
             continue
-        if len(kind) == 1:
-            # character i of the text is from its bytes on, four letters hold three bytes
-            size = np.fromiter((len(c.encode()) for c in decoded), np.int64, len(decoded))
-            last = np.cumsum(size)
-            starts, ends = a + (last - size) * 4 // 3, np.minimum(a + -(-last * 4 // 3), b)
-        else:
-            starts, ends = np.full(len(decoded), a), np.full(len(decoded), b)
-        yield from of(kind, decoded, starts, ends)
+        # what is encoded may start at any letter, and other things may stand around it
+        marks = np.fromiter((x + y for x, c in enumerate(letters) if c in "+/_-" for y in (0, 1)), np.int64)
+        breaks = np.union1d(breaks, marks)
+        for k in range(4):
+            data = data if k == 0 else _decoded(letters[k:])
+            view, plain, done = memoryview(data), [], 0
+            for m in _MAGIC.finditer(data):
+                if m.start() < done or (inner := _inflate(view[m.start() :], limits.inflated)) is None:
+                    continue
+                x, y = m.start(), m.start() + inner[2]
+                kind: tuple[str, ...] = ("base64",)
+                contents, seen = data, {data}
+                while inner is not None:
+                    kind, contents = (*kind, inner[0]), inner[1]
+                    if contents in seen:
+                        contents = b""
+                    seen.add(contents)
+                    inner = _inflate(contents, limits.inflated)
+                if (decoded := _readable(contents, limits)) is None:
+                    continue
+                plain.append((done, x))
+                done = y
+                a, b = at[k + x * 4 // 3], at[min(k - (-y * 4 // 3), len(at)) - 1] + 1
+                yield from of(kind, decoded, np.full(len(decoded), a), np.full(len(decoded), b), np.zeros(0, np.int64))
+            for x, y in [*plain, (done, len(data))]:
+                for m in stretch.finditer(data, x, y):
+                    yield from base64_text(m.group().decode(), m.start(), at[k:], breaks - k)
+
+
+def _matches(pattern: re.Pattern, layer: Layer) -> list[tuple[str, int, int]]:
+    """(secret, start, end) of the matches in a layer, and of those in its pieces that meet none of them."""
+    out = [(m.group(1), *m.span(1)) for m in pattern.finditer(layer.text)]
+    if len(layer.cuts):
+        whole = np.array([x[1:] for x in out], np.int64).reshape(-1, 2)
+        edges = [0, *layer.cuts.tolist(), len(layer.text)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            for m in pattern.finditer(layer.text[a:b]):
+                x, y = m.start(1) + a, m.end(1) + a
+                # the first of the whole matches that ends behind x
+                k = int(np.searchsorted(whole[:, 1], x, "right"))
+                if k == len(whole) or whole[k, 0] >= y:
+                    out.append((m.group(1), x, y))
+    return out
 
 
 def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
     """What the rules find in any layer of the text, by place; a secret that a deeper layer shows again at the same place is reported once."""
     if not text:
         return []
-    run = re.compile(rf"[A-Za-z0-9+/_-]{{{limits.base64_chars},}}={{0,2}}")
+    # long enough, or carried on in the next line
+    run = re.compile(rf"(?<![{_BASE64}])(?=[{_BASE64}]{{{limits.base64_chars}}}|[{_BASE64}]++\r?\n[ \t]*+[{_BASE64}])(?:[{_BASE64}]++(?:\r?\n[ \t]*+(?=[{_BASE64}]))?+)++")
+    stretch = re.compile(b"(?:%b){%d,}+" % (_UTF8, max(1, limits.base64_chars * 3 // 4)))
     found: dict[tuple, dict] = {}
     work = deque([Layer(text)])
     while work:
@@ -207,14 +268,14 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
         for rule, pattern, anchors in RULES:
             if not any(x in low for x in anchors):
                 continue
-            for m in pattern.finditer(layer.text):
-                value = m.group(1)
+            for m in _matches(pattern, layer):
+                value = m[0]
                 if rule == "assigned_secret" and (_entropy(value) < limits.entropy or not any(c.isdigit() for c in value)):
                     continue
-                a, b = layer.span(*m.span(1))
+                a, b = layer.span(m[1], m[2])
                 digest = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
                 found.setdefault((rule, a, digest), {"rule": rule, "start": a, "end": b, "depth": len(layer.path), "path": ">".join(layer.path), "fingerprint": digest})
-        work.extend(_unwrapped(layer, run, limits))
+        work.extend(_unwrapped(layer, run, stretch, limits))
     return sorted(found.values(), key=lambda f: (f["start"], f["end"], f["rule"], f["path"]))
 
 
