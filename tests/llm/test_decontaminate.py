@@ -72,6 +72,52 @@ def test_brute_force(spark):
     assert got == {k: [(a, b, n, round(float(np.float32(c)), 5), i) for a, b, n, c, i in v] for k, v in want.items()}
 
 
+def brute_inner(text, items, lim):
+    """Spans where any common stretch of enough words counts for an item's share."""
+    w = words(text)
+    ws = [x[2] for x in w]
+    its = [(i, [x[2] for x in words(t)]) for i, t in items]
+    common = {}  # stretch of the text: items and their words
+    for s in range(len(ws)):
+        for e in range(s + lim.shortest, len(ws) + 1):
+            at = {(k, p) for k, (_, x) in enumerate(its) for p in range(len(x) - (e - s) + 1) if x[p : p + e - s] == ws[s:e]}
+            if not at:
+                break
+            common[s, e] = at
+    covered = {}
+    for (s, e), at in common.items():
+        for k, p in at:
+            covered.setdefault(k, set()).update(range(p, p + e - s))
+    share = {k: len(c) / len(its[k][1]) for k, c in covered.items()}
+    out = []
+    for s, e in common:
+        if (s - 1, e) in common or (s, e + 1) in common:
+            continue
+        ks = {k for k, _ in common[s, e]} | {k for (x, y), at in common.items() if s <= x and y <= e for k, _ in at if share[k] >= lim.coverage}
+        most = max(share[k] for k in ks)
+        if e - s >= lim.length or most >= lim.coverage:
+            out.append((w[s][0], w[e - 1][1], e - s, round(float(np.float32(most)), 5), tuple(its[k][0] for k in sorted(ks))))
+    return sorted(out)
+
+
+def test_stretches_inside_longer_matches():
+    items, docs = cases()
+    items = [(i, t) for i, t in items if t]
+    for lim in (D.Limits(3, 6, 0.6, inner=True), D.Limits(3, 12, 0.5, inner=True)):
+        a = D.Automaton([(i, K.words(pa.array([t])).hash) for i, t in items], lim.shortest)
+        got = [sorted((s["start"], s["end"], s["n_words"], round(float(np.float32(s["coverage"])), 5), tuple(s["items"])) for s in x) for x in D.spans(pa.array([t for _, t in docs]), a, lim)]
+        assert got == [brute_inner(t, items, lim) for _, t in docs]
+
+
+def test_item_inside_another(spark):
+    b = " ".join(f"w{k}" for k in range(8))
+    a = " ".join(f"a{k}" for k in range(20))
+    items = spark.createDataFrame([(1, f"{a} v {b} w {a}"), (2, b)], "item_id long, text string")
+    docs = [(1, f"x {b} w y"), (2, f"x v {b} y"), (3, f"x v {b} w y"), (4, "x w1 w2 w3 w4 w5 y")]
+    rows = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {r.doc_id: [(s.n_words, s.coverage, s["items"]) for s in r.spans] for r in rows} == {d: [(n, 1.0, [1, 2])] for d, n in ((1, 9), (2, 9), (3, 10))}
+
+
 def test_several_automata_find_the_same(spark):
     items, docs = cases()
     df, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")

@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower-case. The automaton holds every stretch of words of
 every item. A document's words are streamed through it, and the longest stretch that ends at each
 word is tracked; where a longest match can't be carried on, it is reported with the items that
-hold it. Before that, a table of the items' runs of `shortest` words says where in a document a
+hold it. Shorter stretches inside it count for the shares of the items that hold no more than those. Before that, a table of the items' runs of `shortest` words says where in a document a
 match of that length can stand at all; elsewhere the automaton needn't run.
 """
 
@@ -37,6 +37,12 @@ class Limits:
     coverage: float = 0.5
     #: Words of test items in one automaton. More items than that are looked for in several rounds, an automaton each.
     shard_words: int = 2_000_000
+    #: Whether what an item shares with the inside of a match that only other items hold in full counts for its share too. The queries count it.
+    inner: bool = False
+
+
+#: As the queries have it.
+WHOLE = Limits(inner=True)
 
 
 class Automaton:
@@ -116,6 +122,22 @@ class Automaton:
             out.append((len(words) - size, len(words), v))
         return out
 
+    def inner(self, words: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(item, end there, words) of the stretches of a match that items hold: at each word, the longest that ends there, for each place in the items."""
+        v = 0
+        for n, w in enumerate(words, 1):
+            v = self.next[v][w]
+            u, size = v, n
+            seen: set[tuple[int, int]] = set()
+            while u > 0 and size >= self.shortest:
+                # a shorter stretch is wherever the longer one is, and in other places
+                for place in self.ends[u]:
+                    if place not in seen:
+                        seen.add(place)
+                        yield *place, size
+                u = self.link[u]
+                size = self.length[u]
+
     def stretches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         """Runs of words, inside one text each, all of whose `shortest`-word runs are in the items."""
         n = len(hashes) - self.shortest + 1
@@ -146,11 +168,15 @@ def spans(texts: pa.Array, automaton: Automaton, limits: Limits) -> list[list[di
                 found[int(w.row[x])].append((x + s, x + e, state))
         for row, matches in found.items():
             covered: dict[int, set[int]] = defaultdict(set)
+            inside: list[set[int]] = []
             for s, e, state in matches:
-                for item, end in automaton.ends[state]:
-                    covered[item].update(range(end - (e - s), end))
-            for s, e, state in matches:
-                items = sorted({item for item, _ in automaton.ends[state]})
+                inside.append(set())
+                for item, end, n in automaton.inner(w.hash[s:e].tolist()) if limits.inner else ((i, end, e - s) for i, end in automaton.ends[state]):
+                    covered[item].update(range(end - n, end))
+                    inside[-1].add(item)
+            for (s, e, state), others in zip(matches, inside, strict=True):
+                whole = {item for item, _ in automaton.ends[state]}
+                items = sorted(whole | {i for i in others if len(covered[i]) >= limits.coverage * automaton.sizes[i]})
                 share = max(len(covered[i]) / automaton.sizes[i] for i in items)
                 if e - s >= limits.length or share >= limits.coverage:
                     out[a + row].append({"start": int(w.start[s] - w.at[row]), "end": int(w.end[e - 1] - w.at[row]), "n_words": e - s, "coverage": share, "items": [automaton.ids[i] for i in items]})
@@ -183,11 +209,12 @@ def _finder(automaton, limits: Limits):
     return find
 
 
-def contaminated(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, limits: Limits = WHOLE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id and spans (start, end in code points, n_words, coverage, items) of the documents that hold parts of test items.
 
     Null and empty texts hold nothing, nor do rows without a key take part; items without text, or with fewer
-    words than shortest, can't be found. Spans of a document may overlap. Repeated rows give repeated rows."""
+    words than shortest, can't be found. A span's items are those that hold all of it and, with limits.inner, those that
+    share a part of it and of which the document covers enough. Spans of a document may overlap. Repeated rows give repeated rows."""
     spark = docs.sparkSession
     own = texts_of(docs, key, text)
     rounds = []
