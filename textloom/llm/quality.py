@@ -1,7 +1,7 @@
 """Quality rules by compression: bands of zstandard ratios for whole documents and fixed chunks.
 
 The ratio is UTF-8 bytes over compressed bytes. Repetitive text compresses too well, random text
-(keys, encoded data) hardly at all; what is usual depends on the length, as short texts compress less.
+(keys, base64) hardly at all; hexadecimal digits compress as well as prose and aren't told from it. What is usual depends on the length, as short texts compress less.
 """
 
 from __future__ import annotations
@@ -24,11 +24,15 @@ SCHEMA = "n_bytes long, ratio double, n_chunks int, repetitive_chunks int, rando
 class Bands:
     level: int = 3
     #: (length in bytes from which it holds, least ratio, greatest ratio); below the first length nothing is rejected.
-    documents: tuple[tuple[int, float, float], ...] = ((100, 0.7, 3.0), (300, 1.1, 4.0), (1000, 1.25, 5.0), (3000, 1.35, 6.0), (10000, 1.45, 8.0))
+    #: The least ratios stand between those of base64 and random characters at a band's end and those of prose at its start.
+    documents: tuple[tuple[int, float, float], ...] = (
+        (100, 0.935, 3.0), (110, 0.97, 3.0), (120, 0.985, 3.0), (130, 1.0, 3.0), (140, 1.02, 3.0), (150, 1.04, 3.0), (175, 1.08, 3.0), (200, 1.13, 3.0), (250, 1.17, 3.0),
+        (300, 1.22, 4.0), (400, 1.27, 4.0), (500, 1.31, 4.0), (700, 1.38, 4.0), (1000, 1.45, 5.0), (3000, 1.5, 6.0), (10000, 1.6, 8.0),
+    )
     chunk: int = 1024  # bytes
     #: A last chunk shorter than this isn't looked at, unless it is the only one.
     least_chunk: int = 512
-    chunk_least: float = 1.1
+    chunk_least: float = 1.35
     chunk_greatest: float = 4.0
     #: A document is rejected when more than this share of its chunks is outside the limits.
     chunk_share: float = 0.5
