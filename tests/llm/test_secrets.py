@@ -108,6 +108,19 @@ def test_base64_one_a_line():
         assert len(S.scan("\n".join(lines))) == 6
 
 
+def test_names_before_escaped_secrets():
+    secret = "24be04dbebab91ab85687d33eeaaf9ac699e1188"
+    plain = S.scan(f'token = "{secret}"')[0]
+    for part in (WRAPS["url"](secret), WRAPS["url"](secret[:2]) + secret[2:], secret[:20] + WRAPS["url"](secret[20:]), WRAPS["unicode"](secret), WRAPS["unicode"](secret[:1]) + secret[1:], WRAPS["url"](WRAPS["url"](secret))):
+        for name in ("token", WRAPS["url"]("token"), WRAPS["unicode"]("to") + "ken"):
+            text = f'é say {name} = "{part}" and more'
+            hits = [f for f in S.scan(text) if f["fingerprint"] == plain["fingerprint"]]
+            assert [(f["rule"], text[f["start"] : f["end"]]) for f in hits] == [("assigned_secret", part)], (name, part)
+    # every order of decoding leads to the same layers
+    deep = "%25" * 12 + "41 " + "\\u005c" + "u005c" * 12 + "u0041 "
+    assert [f["rule"] for f in S.scan(deep + WRAPS["url"](KEY))] == ["aws_access_key"]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, KEY, "x"), (2, None, "y"), (None, WRAPS["gzip"](KEY + " and more text"), "z"), (1, KEY, "x")], "doc_id long, text string, f string")
     rows = df.select("doc_id", S.scan_text(df).alias("v")).collect()

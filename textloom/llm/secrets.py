@@ -1,8 +1,8 @@
 """Secret scans through layers of encoding.
 
 A text is the first layer on a worklist. Each layer is scanned by the rules, and every stretch of it that is
-encoded (URL escapes, Unicode escapes, base64, and compressed data inside base64) becomes a layer of its own,
-until there is none left. A stretch that decodes to one of the layers it came from is a cycle and
+encoded (base64, and compressed data inside base64) becomes a layer of its own, as does the whole of it with its
+URL escapes or its Unicode escapes replaced, until there is none left. A stretch that decodes to one of the layers it came from is a cycle and
 isn't followed. Every character of a layer knows where in the document it comes from, so that what is
 found anywhere is reported by its place in the document's text.
 """
@@ -76,7 +76,6 @@ class Layer:
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_GAP = re.compile(r"\s")
 _BASE64 = "A-Za-z0-9+/_-"
 _LETTERS = re.compile(f"[{_BASE64}]+")
 #: How compressed data starts.
@@ -97,28 +96,19 @@ def _unescape(m: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-def _escaped(text: str, pattern: re.Pattern, decode) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
-    """(start, end, decoded, starts, ends) of the runs without white space that hold matches; the places are in text."""
-    matches = list(pattern.finditer(text))
-    k = 0
-    while k < len(matches):
-        a = matches[k].start()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        gap = _GAP.search(text, matches[k].end())
-        b = gap.start() if gap else len(text)
-        out, starts, ends, at = [], [], [], a
-        while k < len(matches) and matches[k].start() < b:
-            m = matches[k]
-            plain = np.arange(at, m.start())
-            got = decode(m.group())
-            out += [text[at : m.start()], got]
-            starts += [plain, np.full(len(got), m.start())]
-            ends += [plain + 1, np.full(len(got), m.end())]
-            at = m.end()
-            k += 1
-        plain = np.arange(at, b)
-        yield a, b, "".join([*out, text[at:b]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
+def _escaped(text: str, pattern: re.Pattern, decode) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(decoded, starts, ends) of the whole text with its matches replaced, if it has any; the places are in text."""
+    out, starts, ends, at = [], [], [], 0
+    for m in pattern.finditer(text):
+        plain = np.arange(at, m.start())
+        got = decode(m.group())
+        out += [text[at : m.start()], got]
+        starts += [plain, np.full(len(got), m.start())]
+        ends += [plain + 1, np.full(len(got), m.end())]
+        at = m.end()
+    if at:
+        plain = np.arange(at, len(text))
+        yield "".join([*out, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
 def _inflate(data: bytes | memoryview, limit: int) -> tuple[str, bytes, int] | None:
@@ -174,7 +164,7 @@ def _base64_runs(text: str, run: re.Pattern, least: int) -> Iterator[tuple[str,
             yield letters, np.concatenate([np.arange(x, y) for x, y in parts]), np.cumsum([y - x for x, y in parts])[:-1]
 
 
-def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limits) -> Iterator[Layer]:
+def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limits, known: set[tuple[int, int, int]]) -> Iterator[Layer]:
     text = layer.text
     above = (*layer.above, text)
 
@@ -185,6 +175,11 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
                 cuts = np.searchsorted(starts, layer.cuts)
             if layer.starts is not None:
                 starts, ends = layer.starts[starts], layer.ends[ends - 1]
+            # several orders of decoding lead to the same layer
+            key = (int(starts[0]), int(ends[-1]), hash(decoded))
+            if key in known:
+                return
+            known.add(key)
             yield Layer(decoded, starts, ends, (*layer.path, *kind), above, cuts)
 
     def base64_text(decoded: str, first: int, at: np.ndarray, breaks: np.ndarray) -> Iterator[Layer]:
@@ -197,10 +192,10 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
         yield from of(("base64",), decoded, starts, ends, np.unique(cuts[(cuts > 0) & (cuts < len(decoded))]))
 
     if "%" in text:
-        for _, _, decoded, starts, ends in _escaped(text, _PERCENT, lambda m: unquote_to_bytes(m).decode("utf-8", "replace")):
+        for decoded, starts, ends in _escaped(text, _PERCENT, lambda m: unquote_to_bytes(m).decode("utf-8", "replace")):
             yield from of(("url",), decoded, starts, ends)
     if "\\" in text or "&#" in text:
-        for _, _, decoded, starts, ends in _escaped(text, _ESCAPE, _unescape):
+        for decoded, starts, ends in _escaped(text, _ESCAPE, _unescape):
             yield from of(("unicode",), decoded, starts, ends)
     for letters, at, lines in _base64_runs(text, run, limits.base64_chars):
         breaks = np.union1d(lines, np.searchsorted(at, layer.cuts)) if len(layer.cuts) else lines
@@ -261,6 +256,7 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
     run = re.compile(rf"(?<![{_BASE64}])(?=[{_BASE64}]{{{limits.base64_chars}}}|[{_BASE64}]++\r?\n[ \t]*+[{_BASE64}])(?:[{_BASE64}]++(?:\r?\n[ \t]*+(?=[{_BASE64}]))?+)++")
     stretch = re.compile(b"(?:%b){%d,}+" % (_UTF8, max(1, limits.base64_chars * 3 // 4)))
     found: dict[tuple, dict] = {}
+    known: set[tuple[int, int, int]] = set()
     work = deque([Layer(text)])
     while work:
         layer = work.popleft()
@@ -275,7 +271,7 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
                 a, b = layer.span(m[1], m[2])
                 digest = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
                 found.setdefault((rule, a, digest), {"rule": rule, "start": a, "end": b, "depth": len(layer.path), "path": ">".join(layer.path), "fingerprint": digest})
-        work.extend(_unwrapped(layer, run, stretch, limits))
+        work.extend(_unwrapped(layer, run, stretch, limits, known))
     return sorted(found.values(), key=lambda f: (f["start"], f["end"], f["rule"], f["path"]))
 
 
