@@ -121,6 +121,19 @@ def test_names_before_escaped_secrets():
     assert [f["rule"] for f in S.scan(deep + WRAPS["url"](KEY))] == ["aws_access_key"]
 
 
+def test_members_and_large_layers():
+    pack = {"gzip": lambda b: gzip.compress(b, mtime=0), "zlib": zlib.compress, "zstd": zstandard.compress, "bz2": bz2.compress, "xz": lzma.compress}
+    code = lambda b: base64.b64encode(b).decode()
+    for f in pack.values():
+        (x,) = S.scan(code(f(b"one and ") + f(f"say {KEY} now".encode()) + f(b" end")))
+        assert x["rule"] == "aws_access_key"
+        for place in (0, 700, 990, 1000, 1010, 7_000):
+            text = "é" + "x " * place + f" {KEY} " + "é y " * 3_000
+            for packed in (f(text.encode()), zlib.compress(f(text.encode()))):
+                (x,) = S.scan(code(packed), S.Limits(inflated=2000))
+                assert x["fingerprint"] == S.scan(KEY)[0]["fingerprint"]
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, KEY, "x"), (2, None, "y"), (None, WRAPS["gzip"](KEY + " and more text"), "z"), (1, KEY, "x")], "doc_id long, text string, f string")
     rows = df.select("doc_id", S.scan_text(df).alias("v")).collect()

@@ -19,6 +19,7 @@ import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -53,7 +54,7 @@ class Limits:
     printable: float = 0.9
     #: Least entropy, in bits a character, of what is assigned to a name.
     entropy: float = 3.0
-    #: Compressed data that would take more bytes is not followed: it is a bomb.
+    #: Compressed data that would take more bytes is scanned in overlapping windows of so many.
     inflated: int = 1 << 24
 
 
@@ -67,6 +68,8 @@ class Layer:
     above: tuple[str, ...] = field(default=(), repr=False)
     #: Where in the text one encoded piece may end and another begin, in order.
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
+    #: Of a window of a longer text, whether it is the first and the last.
+    window: tuple[bool, bool] | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -111,32 +114,95 @@ def _escaped(text: str, pattern: re.Pattern, decode) -> Iterator[tuple[str, np.n
         yield "".join([*out, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
-def _inflate(data: bytes | memoryview, limit: int) -> tuple[str, bytes, int] | None:
-    """(kind, contents, bytes it takes) of compressed data, or None if it isn't, or is broken or too long."""
-    head = bytes(data[:6])
-    try:
-        if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0):
-            kind, d = "gzip" if head[0] == 0x1F else "zlib", zlib.decompressobj(47)
-            out = d.decompress(data, limit + 1)
-        elif head[:4] == b"\x28\xb5\x2f\xfd":
-            kind, d = "zstd", zstandard.ZstdDecompressor().decompressobj()
-            out, at = b"", 0
-            # a little at a time, as there is no limit to what a call returns
-            while at < len(data) and not d.eof and len(out) <= limit:
-                out += d.decompress(data[at : at + 512])
-                at += 512
-            return (kind, out, min(at, len(data)) - len(d.unused_data)) if d.eof and len(out) <= limit else None
-        elif head[:3] == b"BZh":
-            kind, d = "bz2", bz2.BZ2Decompressor()
-            out = d.decompress(data, limit + 1)
-        elif head == b"\xfd7zXZ\x00":
-            kind, d = "xz", lzma.LZMADecompressor()
-            out = d.decompress(data, limit + 1)
-        else:
-            return None
-    except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+def _kind(head: bytes) -> str | None:
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else "bz2" if head[:3] == b"BZh" else "xz" if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+_OPEN = {"gzip": lambda: zlib.decompressobj(47), "zlib": lambda: zlib.decompressobj(47), "zstd": lambda: zstandard.ZstdDecompressor().decompressobj(), "bz2": bz2.BZ2Decompressor, "xz": lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ)}
+
+
+class _Stream:
+    """Contents of compressed data, all its members one after another, piece by piece; used and good count the bytes of whole members, before and after."""
+
+    def __init__(self, pieces: Iterator[bytes], kind: str):
+        self.pieces, self.kind, self.used, self.good, self.members = pieces, kind, 0, 0, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        d, buf, fed, made = None, b"", 0, 0
+        while True:
+            if d is None:
+                while len(buf) < 6 and (more := next(self.pieces, None)) is not None:
+                    buf += more
+                if _kind(buf[:6]) != self.kind:
+                    return
+                d = _OPEN[self.kind]()
+            buf = buf or next(self.pieces, b"")
+            if not buf:
+                return
+            fed += len(buf)
+            try:
+                out = d.decompress(buf, 1 << 20) if self.kind in ("bz2", "xz") else d.decompress(buf)
+                while True:
+                    made += len(out)
+                    if out:
+                        yield out
+                    if self.kind not in ("bz2", "xz") or d.eof or d.needs_input:
+                        break
+                    out = d.decompress(b"", 1 << 20)
+            except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            buf = b""
+            if d.eof:
+                buf = d.unused_data
+                fed -= len(buf)
+                self.used, self.good, self.members, d = fed, made, self.members + 1, None
+
+
+def _pieces(data: bytes | memoryview) -> Iterator[bytes]:
+    """A little at a time, as there is no limit to what a call of some decompressors returns."""
+    return (bytes(data[k : k + 512]) for k in range(0, len(data), 512))
+
+
+def _inflate(data: bytes | memoryview, limit: int) -> tuple[str, bytes | None, int] | None:
+    """(kind, contents or None if they are too long to hold, bytes it takes) of compressed data, or None if it isn't, or is broken."""
+    if (kind := _kind(bytes(data[:6]))) is None:
         return None
-    return (kind, out, len(data) - len(d.unused_data)) if d.eof and len(out) <= limit else None
+    stream, out, n = _Stream(_pieces(data), kind), [], 0
+    for x in stream:
+        out.append(x)
+        n += len(x)
+        if n > limit:
+            return kind, None, len(data)
+    return (kind, b"".join(out)[: stream.good], stream.used) if stream.members else None
+
+
+def _windows(data: bytes | memoryview, size: int) -> Iterator[tuple[tuple[str, ...], bytes, bool, bool]]:
+    """(kinds, contents, is the first, is the last) of windows of compressed data, which overlap by a quarter; what is compressed several times is opened as often."""
+    kinds: tuple[str, ...] = ()
+    pieces = _pieces(data)
+    while True:
+        head = b""
+        while len(head) < 6 and (more := next(pieces, None)) is not None:
+            head += more
+        pieces = chain([head], pieces)
+        if (kind := _kind(head[:6])) is None:
+            break
+        kinds, pieces = (*kinds, kind), iter(_Stream(pieces, kind))
+    held, first = bytearray(), True
+    for x in pieces:
+        held += x
+        while len(held) > size:
+            # characters of several bytes stay whole
+            b = next(k for k in range(size, -1, -1) if held[k] & 0xC0 != 0x80 or k < size - 3)
+            a = next(k for k in range(b - b // 4, b + 1) if k == b or held[k] & 0xC0 != 0x80)
+            yield kinds, bytes(held[:b]), first, False
+            del held[: max(a, 1)]
+            first = False
+    yield kinds, bytes(held), first, True
 
 
 def _readable(data: bytes, limits: Limits) -> str | None:
@@ -182,6 +248,14 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
             known.add(key)
             yield Layer(decoded, starts, ends, (*layer.path, *kind), above, cuts)
 
+    def large(packed: bytes | memoryview, a: int, b: int, above_: tuple[str, ...] = ("base64",)) -> Iterator[Layer]:
+        """The layers of contents that are too long to hold."""
+        for kinds, part, first, last in _windows(packed, limits.inflated):
+            if (decoded := _readable(part, limits)) is not None:
+                for x in of((*above_, *kinds), decoded, np.full(len(decoded), a), np.full(len(decoded), b), np.zeros(0, np.int64)):
+                    x.window = first, last
+                    yield x
+
     def base64_text(decoded: str, first: int, at: np.ndarray, breaks: np.ndarray) -> Iterator[Layer]:
         """The layer of a text whose bytes are from `first` on in those of the letters at `at`."""
         # character i of the text is from its bytes on, four letters hold three bytes
@@ -215,12 +289,24 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
                 x, y = m.start(), m.start() + inner[2]
                 kind: tuple[str, ...] = ("base64",)
                 contents, seen = data, {data}
+                if inner[1] is None:
+                    yield from large(view[x:], at[k + x * 4 // 3], at[-1] + 1)
+                    done = len(data)
+                    break
                 while inner is not None:
                     kind, contents = (*kind, inner[0]), inner[1]
                     if contents in seen:
                         contents = b""
                     seen.add(contents)
-                    inner = _inflate(contents, limits.inflated)
+                    packed, inner = contents, _inflate(contents, limits.inflated)
+                    if inner is not None and inner[1] is None:
+                        break
+                if inner is not None:
+                    for part in large(packed, at[k + x * 4 // 3], at[min(k - (-y * 4 // 3), len(at)) - 1] + 1, kind):
+                        yield part
+                    plain.append((done, x))
+                    done = y
+                    continue
                 if (decoded := _readable(contents, limits)) is None:
                     continue
                 plain.append((done, x))
@@ -235,6 +321,10 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
 def _matches(pattern: re.Pattern, layer: Layer) -> list[tuple[str, int, int]]:
     """(secret, start, end) of the matches in a layer, and of those in its pieces that meet none of them."""
     out = [(m.group(1), *m.span(1)) for m in pattern.finditer(layer.text)]
+    if layer.window is not None:
+        # what a window cuts off is whole in the one before or behind
+        first, last = layer.window
+        out = [x for x in out if (first or x[1] > 0) and (last or x[2] < len(layer.text) or x[1] < len(layer.text) * 3 // 4)]
     if len(layer.cuts):
         whole = np.array([x[1:] for x in out], np.int64).reshape(-1, 2)
         edges = [0, *layer.cuts.tolist(), len(layer.text)]
@@ -257,21 +347,27 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
     stretch = re.compile(b"(?:%b){%d,}+" % (_UTF8, max(1, limits.base64_chars * 3 // 4)))
     found: dict[tuple, dict] = {}
     known: set[tuple[int, int, int]] = set()
-    work = deque([Layer(text)])
-    while work:
-        layer = work.popleft()
-        low = layer.text.lower()
-        for rule, pattern, anchors in RULES:
-            if not any(x in low for x in anchors):
-                continue
-            for m in _matches(pattern, layer):
-                value = m[0]
-                if rule == "assigned_secret" and (_entropy(value) < limits.entropy or not any(c.isdigit() for c in value)):
+
+    def follow(first: Layer) -> None:
+        work = deque([first])
+        while work:
+            layer = work.popleft()
+            low = layer.text.lower()
+            for rule, pattern, anchors in RULES:
+                if not any(x in low for x in anchors):
                     continue
-                a, b = layer.span(m[1], m[2])
-                digest = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
-                found.setdefault((rule, a, digest), {"rule": rule, "start": a, "end": b, "depth": len(layer.path), "path": ">".join(layer.path), "fingerprint": digest})
-        work.extend(_unwrapped(layer, run, stretch, limits, known))
+                for m in _matches(pattern, layer):
+                    value = m[0]
+                    if rule == "assigned_secret" and (_entropy(value) < limits.entropy or not any(c.isdigit() for c in value)):
+                        continue
+                    a, b = layer.span(m[1], m[2])
+                    digest = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+                    found.setdefault((rule, a, digest), {"rule": rule, "start": a, "end": b, "depth": len(layer.path), "path": ">".join(layer.path), "fingerprint": digest})
+            for inner in _unwrapped(layer, run, stretch, limits, known):
+                # windows are done with one by one
+                follow(inner) if inner.window is not None else work.append(inner)
+
+    follow(Layer(text))
     return sorted(found.values(), key=lambda f: (f["start"], f["end"], f["rule"], f["path"]))
 
 
