@@ -4,9 +4,12 @@ import random
 import re
 from dataclasses import replace
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import ngram_join as J
+from textloom.llm.graph import components
 
 
 def grams(text, n):
@@ -14,21 +17,52 @@ def grams(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute(docs, n, t):
+def kinds_of(docs, n):
     sets = {}
     for d, text in docs:
         if d is not None and (g := grams(text, n)):
             sets.setdefault(g, set()).add(d)
-    out = {(min(d), sorted(d)[1], 1.0, tuple(sorted(d))) for d in sets.values() if len(d) > 1}
-    kinds = list(sets.items())
+    return list(sets.items())
+
+
+def brute(docs, n, t):
+    """Pairs of distinct sets."""
+    kinds, out = kinds_of(docs, n), []
     for i, (a, da) in enumerate(kinds):
         for b, db in kinds[:i]:
             o = len(a & b)
             j = o / (len(a) + len(b) - o)
-            if j >= t - 1e-12 and min(da) != min(db):
-                x, y = sorted((min(da), min(db)))
-                out.add((x, y, round(j, 9), tuple(sorted(da | db))))
-    return out
+            if j >= t - 1e-12:
+                (x, p), (y, q) = sorted(((min(da), len(a)), (min(db), len(b))))
+                out.append((x, y, p, q, o, round(j, 9)))
+    return sorted(out)
+
+
+def brute_classes(docs, n, t):
+    """What every similar pair of documents says, counted one by one."""
+    kinds = kinds_of(docs, n)
+    of = {d: g for g, ds in kinds for d in ds}
+    link = {d: d for d in of}
+
+    def root(x):
+        while link[x] != x:
+            x = link[x]
+        return x
+
+    out = {}
+    for d, g in of.items():
+        copies = [e for e, h in of.items() if e != d and h == g]
+        near = []
+        for h, ds in kinds:
+            if h != g and (o := len(g & h)) / (len(g) + len(h) - o) >= t - 1e-12:
+                near.append((-o / (len(g) + len(h) - o), min(ds), ds))
+        docs_ = [e for *_, ds in near for e in ds]
+        for e in copies + docs_:
+            link[max(root(d), root(e))] = min(root(d), root(e))
+        if copies or near:
+            best = min(near)[:2] if near else (None, None)
+            out[d] = (len(copies), len(near), len(copies) + len(docs_), best[1], None if best[0] is None else round(-best[0], 9))
+    return {d: (root(d), *x) for d, x in out.items()}
 
 
 def some_docs(copies=6):
@@ -48,30 +82,92 @@ def some_docs(copies=6):
 
 
 def result(df):
-    rows = [(r.doc_a, r.doc_b, round(r.jaccard, 9), tuple(r.doc_ids)) for r in df.collect()]
-    assert len(rows) == len(set(rows))
-    return set(rows)
+    return sorted((r.doc_a, r.doc_b, r.size_a, r.size_b, r.overlap, round(r.jaccard, 9)) for r in df.collect())
+
 
+def class_result(df):
+    rows = df.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: (r.class_id, r.n_copies, r.n_texts, r.n_links, r.nearest_id, None if r.nearest_jaccard is None else round(r.nearest_jaccard, 9)) for r in rows}
 
-@pytest.mark.parametrize("block", [2000, 3])
+
+@pytest.mark.parametrize("block", [J.Settings().block, 2])
 def test_all_pairs(spark, block):
-    docs = some_docs()
-    s = replace(J.Settings(), block=block, bands=40, rows=1)
+    docs = some_docs(12)
+    s = replace(J.Settings(), block=block)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = brute(docs, s.n, s.jaccard)
-    assert len(want) > 20
+    assert len(want) > 30
     assert result(J.similar(df, s)) == want
+    assert class_result(J.classes(df, s)) == brute_classes(docs, s.n, s.jaccard)
 
 
-def test_recall_of_the_defaults(spark):
-    docs = some_docs(12)
-    want = brute(docs, 3, J.Settings().jaccard)
-    got = result(J.similar(spark.createDataFrame(docs, "doc_id long, text string")))
-    assert got <= want and len(got) >= 0.95 * len(want)
+@pytest.mark.parametrize("seed", range(4))
+def test_few_kinds_of_words(spark, seed):
+    """Sets that share much by chance, at every bound."""
+    rng = random.Random(seed)
+    docs = [(k, " ".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 20, 40])))) for k in range(90)]
+    s = J.Settings(n=rng.choice([1, 2, 3]), jaccard=rng.choice([0.3, 0.5, 0.75, 0.9]), block=rng.choice([3, 1000]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert result(J.similar(df, s)) == brute(docs, s.n, s.jaccard)
+    assert class_result(J.classes(df, s)) == brute_classes(docs, s.n, s.jaccard)
+
+
+def test_all_pairs_of_the_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = class_result(J.op4_ngram_join(spark, "/root/testdata/sf0.001"))
+    assert got == brute_classes(docs, J.Settings().n, J.Settings().jaccard) and got
+
+
+def test_groups_of_copies(spark):
+    """Five copies of one text and three of another one near it: every link counts."""
+    one = " ".join(f"w{k}" for k in range(40))
+    docs = [(k, one) for k in range(1, 6)] + [(k, one + " end") for k in range(6, 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [(r.doc_a, r.doc_b) for r in J.similar(df).collect()] == [(1, 6)]
+    got = class_result(J.classes(df))
+    assert {d: x[:5] for d, x in got.items()} == {d: (1, 4, 1, 7, 6) for d in range(1, 6)} | {d: (1, 2, 1, 7, 1) for d in range(6, 9)}
+
+
+def test_a_key_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    df = spark.createDataFrame([(5, a), (5, b), (2, a), (9, b + " more"), (9, b + " more")], "doc_id long, text string")
+    assert {d: x[:4] for d, x in class_result(J.classes(df)).items()} == {2: (2, 1, 0, 1), 5: (2, 1, 1, 2), 9: (2, 0, 1, 1)}
+
+
+def test_groups_of_more_blocks_than_46341():
+    """Block numbers of a tile are kept apart, whatever their size."""
+    n = np.array([3, 3, 3, 3])
+    columns = [np.zeros(4, np.int64), np.array([30000, 30000, 70000, 70000], np.int32), np.array([70000, 70000, 70001, 70001], np.int32), np.array([0, 1, 0, 1], np.int8), np.arange(4), np.arange(4).astype(np.uint64), np.ones(4, np.int64), n, np.tile(np.arange(3, dtype=np.uint64), 4)]
+    (b,) = J._pair_rows(J.Settings())(*columns)
+    assert sorted(zip(b.column("doc_a").to_pylist(), b.column("doc_b").to_pylist())) == [(0, 1), (2, 3)]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components(spark, small):
+    rng = random.Random(small)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2040)] + [(None, 5), (7, 7)]
+    link = {}
+
+    def root(x):
+        while link.setdefault(x, x) != x:
+            x = link[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            link[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components(df, small).collect()} == {x: root(x) for x in link}
+    if not small:
+        assert {r.node for r in components(df.select(F.col("a").cast("string"), F.col("b").cast("string")), small).collect()} == {str(x) for x in link}
+    assert components(df.limit(0), small).count() == 0
 
 
 def test_empty_table(spark):
-    assert J.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert J.similar(none).count() == J.classes(none).count() == 0
 
 
 def test_stage_keeps_one_of_each_group(spark):

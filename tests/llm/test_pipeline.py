@@ -21,7 +21,7 @@ def test_whole(spark):
     kept = spark.createDataFrame([tuple(r)[:5] for r in rows], docs.schema)
     # nothing is left for the stages to do
     assert line_dedup.removed_lines(kept).count() == 0
-    assert ngram_join.similar(kept).count() == 0
+    assert ngram_join.classes(kept).count() == 0
     assert decontaminate.contaminated(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     df = out.withColumn("back", bpe.decode_tokens(out))
     assert df.where(F.col("back") != F.col("text")).count() == 0

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import mix as mixed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,15 +32,21 @@ def parts(spark: SparkSession) -> int:
 def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder, so that a lost executor takes nothing with it.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset, as in tests, a temporary one of our own."""
+    The folder is the session's spark.checkpoint.dir; where that is unset and the master is local, a temporary one of our own."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. On a cluster it has to be set: a folder of one machine would do there only until another one reads it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="textloom-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -139,6 +149,114 @@ def block_reduce(df: DataFrame, buckets: int, dtypes: list[str], f: Callable[...
     return block_shuffle(df, buckets).mapInArrow(reduce, schema)
 
 
+class Blocks:
+    """Rows held as numpy columns go out as one packed row a block, which names the bucket that the block belongs to.
+
+    A block has about `hold` rows (values, if sizes are added by the value), of whole texts. Block numbers are of
+    the partition and the place in it, so a partition has to have the same rows in the same order whenever it is computed, as scans of files and durable tables have."""
+
+    def __init__(self, buckets: int, dtypes: list[str], hold: int = 1 << 20):
+        self.buckets, self.dtypes, self.hold = buckets, [np.dtype(d) for d in dtypes], hold
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n, self.next = 0, TaskContext.get().partitionId() << 32
+
+    def add(self, n: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if n:
+            self.held.append(tuple(np.asarray(c).astype(d, copy=False) for c, d in zip(columns, self.dtypes, strict=True)))
+            self.n += n
+        if self.n >= self.hold:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            block, columns = self.take()
+            yield pa.RecordBatch.from_pydict({"bucket": block_bucket(np.array([block]), self.buckets), "block": pa.array([block], pa.int64()), **{f"b{k}": pa.array([c.tobytes()], pa.binary()) for k, c in enumerate(columns)}})
+
+    def take(self) -> tuple[int, list[np.ndarray]]:
+        """The block's number and columns; the next block begins."""
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        self.held, self.n, self.next = [], 0, self.next + 1
+        return self.next - 1, columns
+
+
+def block_schema(dtypes: list[str]) -> str:
+    return "bucket int, block long, " + ", ".join(f"b{k} binary" for k in range(len(dtypes)))
+
+
+def block_bucket(block: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(mixed(block.astype(np.uint64)), buckets)
+
+
+def unpacked(batch: pa.RecordBatch, dtypes: list[str], first: int = 2) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Number and columns of the blocks in a batch."""
+    for i in range(len(batch)):
+        if batch.column(first).is_valid()[i].as_py():
+            yield batch.column(1)[i].as_py(), [np.frombuffer(batch.column(first + k)[i].as_buffer(), d) for k, d in enumerate(dtypes)]
+
+
+def ask(
+    blocks: DataFrame,
+    buckets: int,
+    dtypes: list[str],
+    question: Callable[..., tuple[np.ndarray, ...]],
+    values: list[str],
+    answer: Callable[..., tuple[np.ndarray, ...]],
+    answers: list[str],
+    use: Callable[..., Iterator[pa.RecordBatch]],
+    schema: str,
+) -> DataFrame:
+    """What the corpus says about the keys of every block, brought back to the block.
+
+    question(*columns of a block): its distinct keys, and values for each; only these are shuffled, so that a key
+    that a third of all rows have goes out once a block. answer(keys, *values of all blocks): indices of the questions that get an
+    answer, and columns of the answers. use(*columns of a block, keys, *answers): keys in order, with their answers."""
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Scatter(buckets, ["u8", *values, "i8"])
+        for batch in batches:
+            for block, columns in unpacked(batch, dtypes):
+                key, *value = question(*columns)
+                yield from out.add(bucket_of(key, buckets), key, *value, np.full(len(key), block))
+        yield from out.flush()
+
+    def replies(key: np.ndarray, *rest: np.ndarray) -> Iterator[pa.RecordBatch]:
+        *value, block = rest
+        at, *reply = answer(key, *value)
+        out = Scatter(buckets, ["i8", "u8", *answers], 1 << 19)
+        for a in range(0, len(at), 1 << 19):
+            x = slice(a, a + (1 << 19))
+            yield from out.add(block_bucket(block[at[x]], buckets), block[at[x]], key[at[x]], *(r[x] for r in reply))
+        yield from out.flush()
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, kinds = [], ["i8", "u8", *answers]
+        parts_: list[list[np.ndarray]] = [[] for _ in kinds]
+        n = 2 + len(dtypes)
+        for batch in batches:
+            whole += list(unpacked(batch, dtypes))
+            for i in np.flatnonzero(batch.column(n).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                for k, d in enumerate(kinds):
+                    parts_[k].append(np.frombuffer(batch.column(n + k)[i].as_buffer(), d))
+        block, key, *reply = (np.concatenate(p) if p else np.zeros(0, d) for p, d in zip(parts_, kinds, strict=True))
+        order = np.lexsort((key, block))
+        block, key, *reply = (c[order] for c in (block, key, *reply))
+        for number, columns in whole:
+            a, b = np.searchsorted(block, number), np.searchsorted(block, number, "right")
+            yield from use(*columns, key[a:b], *(r[a:b] for r in reply))
+
+    asked = blocks.mapInArrow(asks, Scatter(buckets, ["u8", *values, "i8"]).schema)
+    replied = block_reduce(asked, buckets, ["u8", *values, "i8"], replies, Scatter(buckets, ["i8", "u8", *answers]).schema)
+    return block_shuffle(blocks.unionByName(replied, allowMissingColumns=True), buckets).mapInArrow(uses, schema)
+
+
+def found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each key among sorted ones, whether it is there)."""
+    if not len(among):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return at, among[at] == keys
+
+
 def starts(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)

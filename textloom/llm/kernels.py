@@ -3,6 +3,8 @@
 Everything here works on one Arrow batch at a time: the texts are laid out as one
 array of code points, words are found with boolean masks, and every word gets a
 64-bit hash from prefix sums, so no Python loop runs over characters or words.
+Sums are taken modulo 2**64 and modulo the prime 2**31 - 1: the first alone has texts of equal
+hash that can be written down (Thue-Morse words), both together have none that are known.
 
 A *word* is a maximal run of alphanumeric code points; its hash is taken over the
 simple lower-case form. Null texts count as empty.
@@ -21,6 +23,7 @@ import pyarrow.compute as pc
 #: Code points laid out at once; one longer document is laid out alone.
 STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+_PRIME, _BASE_P = (1 << 31) - 1, 0x4B1D_36E7
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,11 +61,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _sized(n: int) -> int:
     size = STEP
     while size < n:
         size *= 2
-    return _powers(size)
+    return size
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_sized(n))
+
+
+@functools.lru_cache(maxsize=2)
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the other base and of its inverse, modulo the prime."""
+    out = []
+    for b in (_BASE_P, pow(_BASE_P, -1, _PRIME)):
+        p = np.ones(n + 1, np.uint64)
+        k = 1
+        while k <= n:
+            part = p[k : 2 * k]
+            part[:] = p[: len(part)] * np.uint64(pow(b, k, _PRIME)) % np.uint64(_PRIME)
+            k *= 2
+        out.append(p)
+    return out[0], out[1]
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +148,32 @@ def values(cp: np.ndarray, fold: bool = True) -> np.ndarray:
     return _value(lowered(cp))
 
 
-def prefix(vals: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes the hash of any stretch."""
-    h = np.zeros(len(vals) + 1, np.uint64)
-    np.cumsum(vals * powers(len(vals))[0][: len(vals)], out=h[1:])
-    return h
+class Prefix(NamedTuple):
+    """Prefix sums from which the hash of any stretch is taken."""
+
+    wide: np.ndarray  # modulo 2**64
+    prime: np.ndarray  # sums of terms modulo the prime
+
+
+def prefix(vals: np.ndarray) -> Prefix:
+    n = len(vals)
+    h, g = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(vals * powers(n)[0][:n], out=h[1:])
+    term = (vals >> np.uint64(33)) * _prime_powers(_sized(n))[0][:n]
+    # below 2**32 each, so that the sum of 2**32 of them fits
+    np.cumsum((term & np.uint64(_PRIME)) + (term >> np.uint64(31)), out=g[1:])
+    return Prefix(h, g)
+
+
+def span_check(h: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """31 bits of the values in [start, end), independent of the sums modulo 2**64."""
+    p = np.uint64(_PRIME)
+    return ((h.prime[end] - h.prime[start]) % p * _prime_powers(_sized(len(h.prime)))[1][start] % p).astype(np.uint32)
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(h: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the values in [start, end); equal stretches have equal hashes wherever they stand."""
-    return mix((h[end] - h[start]) * powers(len(h))[1][start])
+    return mix((h.wide[end] - h.wide[start]) * powers(len(h.wide))[1][start] + span_check(h, start, end).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 class Words(NamedTuple):

@@ -65,7 +65,7 @@ def _line_rows(buckets: int, min_chars: int):
                 s, e, row = x.first[long], x.last[long], x.row[long]
                 h = K.prefix(K.values(cp))
                 key = K.span_hash(h, s, e)
-                yield from out.add(bucket_of(key, buckets), key, ids[a:b][row], x.number[long], x.start[long] - at[row], x.end[long] - at[row], *_segment_keys(h, s, e).T)
+                yield from out.add(bucket_of(key, buckets), key, ids[a:b][row], x.number[long], x.start[long] - at[row], x.end[long] - at[row], *_segment_keys(h.wide, s, e).T)
         yield from out.flush()
 
     return rows
@@ -139,7 +139,7 @@ def _variants(buckets: int):
             for a, b in K.slices(texts):
                 cp, at = K.code_points(texts.slice(a, b - a))
                 x = K.lines(cp, at)
-                h = K.prefix(K.values(cp))
+                h = K.prefix(K.values(cp)).wide
                 inverse = K.powers(len(h))[1]
                 part = pieces.slice(a, b - a)
                 row = np.repeat(np.arange(b - a), part.value_lengths().to_numpy(zero_copy_only=False))
@@ -161,7 +161,7 @@ def _variants(buckets: int):
                 whole = np.flatnonzero((role == 0) & (e > s))
                 _, one = np.unique(np.stack([row[whole], line[whole]]), axis=1, return_index=True)
                 whole = whole[one]
-                key = K.span_hash(h, s[whole], e[whole])
+                key = K.mix(_raw(h, inverse, s[whole], e[whole]))
                 yield from scattered(out.add(bucket_of(key, buckets), key, ids[a:b][row[whole]], line[whole], np.full(len(whole), -1), x.start[at_line[whole]] - at[row[whole]], x.end[at_line[whole]] - at[row[whole]]))
                 if len(row):
                     yield forms(ids[a:b], row, line, s, e, cp)
