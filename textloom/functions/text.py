@@ -30,11 +30,27 @@ _QUOTES = "«‘‛“‟‹⸂⸄⸉⸌⸜⸠'\""
 PROTECTED = "(?s)(?:" + "|".join(rf"{q}.+?[\p{{Pf}}{q}]" for q in _QUOTES) + r"|\p{Ps}.+?\p{Pe})"
 LIST_MARKER = rf"[\n:][{WS}]*\p{{N}}\."
 _ABBREVIATION = r"(?<!(?<![\p{L}\p{N}_])\p{Lu}\p{Ll}{1,4}\.)"
-#: After a terminator (checked first, as it is rare), not after a short capitalised word, before what may begin a sentence.
 #: A letter that a sentence may begin with.
 BEGINNING = r"[\p{Lo}\p{Lt}\p{Lu}]"
-_MAYBE_SPACE = r"(?=[\s\x0b\x1c-\x1f]|[^\x00-\x7f]|$)"
-SENTENCE_END = rf"{_MAYBE_SPACE}(?<={TERM}){_ABBREVIATION}(?=[{WS}]+{BEGINNING}|[{WS}]*\n|[{WS}]*$)"
+#: Terminators, with ASCII decided by a look into a table (single characters in a class are, ranges and the rest are tried one by one).
+_COLON_CLASS = r"[.!?:" + _FAR + "]"
+_ASCII_BREAK = r"\n\r\x0b\f\x1c\x1d\x1e\x85"
+_FAR_BREAK = "  "
+_FAR_TERMS = "".join(c for c in TERMINATORS if c > "\x7f")
+
+
+def _ends(terminators: str, far: str) -> str:
+    """Pattern of a sentence's or a line's last character: a terminator, not after a short capitalised word, before what may begin a sentence, with the white space between; or a line break."""
+    return rf"([{terminators}{_ASCII_BREAK}{far}])(?:(?<=[{_ASCII_BREAK}{_FAR_BREAK}])|{_ABBREVIATION}(?:[{WS}]+(?={BEGINNING})|[{WS}]*\n[{WS}]*|[{WS}]*$))"
+
+
+SENTENCE_END = _ends(".!?", rf"[[^\x00-\x7f]&&[{_FAR_BREAK}{_FAR_TERMS}]]")
+#: For texts without terminators and line breaks beyond the first rows of the first plane. One range is told quickly; typographic marks in it are told apart only where it was met.
+_NEAR_SENTENCE_END = _ends(".!?", "")
+_FAR_SIGNS = (r"[^\x00-ֈ]", r"[^\x00-ֈ‐-‣‥-‧‪-※]")
+#: What a text with a protected part or a list number has; others may have it too.
+_OPENING = r"['\"(\[{«[^\x00-༹]]"
+_NUMBERED = r"\p{N}\."
 
 THEMATIC_BREAK = rf"[{WS}]*(?:-[{WS}]*-{{2,}}|\*[{WS}]*\*{{2,}}|_[{WS}]*_{{2,}})[{WS}]*"
 SECTION_BREAK = (
@@ -63,50 +79,62 @@ def rstrip(c: Column) -> Column:
     return let(c, lambda t: F.when(F.right(t, F.lit(1)).rlike(f"[{WS}]"), _sub(t, f"[{WS}]+$", "")).otherwise(t))
 
 
-def _protect(c: Column, pattern: str) -> Column:
-    """Terminators, colons and white space inside the pattern's matches, moved out of the way."""
+def _protect(c: Column, pattern: str, sign: str) -> Column:
+    """Terminators, colons and white space inside the pattern's matches, moved out of the way; sign: what a text with a match has, which is told sooner."""
 
     def moved(t: Column, inside: Column) -> Column:
         return F.array_join(F.zip_with(F.split(t, pattern, -1), inside, lambda a, b: F.concat(a, F.coalesce(F.translate(b, _SECRET_FROM, _SECRET_TO), F.lit("")))), "")
 
-    return let(c, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda inside: F.when(F.size(inside) == 0, t).otherwise(moved(t, inside))))
+    def tried(t: Column) -> Column:
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda inside: F.when(F.size(inside) == 0, t).otherwise(moved(t, inside)))
+
+    return let(c, lambda t: F.when(t.rlike(sign), tried(t)).otherwise(t))
 
 
 def _reveal(c: Column) -> Column:
     return F.translate(c, _SECRET_TO, _SECRET_FROM)
 
 
+def _lines(text: Column) -> Column:
+    """Sentences and lines as they are cut, blank ones among them."""
+    flat = let(strip(text), lambda t: F.when(t.rlike(_NUMBERED), _sub(t, rf"({_COLON_CLASS})[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "$1\n $2")).otherwise(t))
+    t = strip(_protect(_protect(flat, PROTECTED, _OPENING), LIST_MARKER, _NUMBERED))
+    at = lambda t, pattern: F.split(_sub(t, pattern, f"$1{BOUNDARY}"), BOUNDARY, -1)
+    cut = lambda t: F.when(t.rlike(_FAR_SIGNS[0]) & t.rlike(_FAR_SIGNS[1]), at(t, SENTENCE_END)).otherwise(at(t, _NEAR_SENTENCE_END))
+    return let(t, lambda t: F.when(t.rlike(f"[{_SECRET_TO[0]}-{_SECRET_TO[-1]}]"), F.transform(cut(t), _reveal)).otherwise(cut(t)))
+
+
 def raw_sentences(text: Column) -> Column:
     """The universal splitter: array of sentences, blank ones left out; null for null.
 
     A flattened numbered list is put on lines of its own, quotations and brackets aren't split, list
     numbers stay with the line before, and a sentence ends at a terminator before a capital or uncased letter or a
     line's end, unless a capitalised word of two to five letters stands before the dot."""
-    t = _sub(strip(text), rf"{_MAYBE_SPACE}(?<={TERM_COLON})[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "\n $1")
-    t = _protect(_protect(t, PROTECTED), LIST_MARKER)
-    pieces = F.split(strip(t), SENTENCE_END, -1)
-    lines = F.flatten(F.transform(pieces, lambda p: F.split(strip(p), BREAKS, -1)))
-    return F.transform(F.filter(lines, lambda s: s.rlike(f"[^{WS}]")), _reveal)
+    return F.filter(_lines(text), lambda s: s.rlike(f"[^{WS}]"))
 
 
 def clean_sentences(sentences: Column) -> Column:
     """Blank sentences go; one of punctuation alone is added to the one before (its first five characters), or, in front, kept with its first two; thematic breaks stay; white space at the end goes."""
+    no_word = r"^[^\p{L}\p{N}_]+$"
 
     def marked(s: Column, i: Column) -> Column:
         def mark(core: Column) -> Column:
-            only = core.rlike(r"^[^\p{L}\p{N}_]+$") & ~core.rlike(f"^{THEMATIC_BREAK}$")
+            only = core.rlike(no_word) & ~core.rlike(f"^{THEMATIC_BREAK}$")
             return F.when(~only, F.concat(F.lit(BOUNDARY), rstrip(s))).when(i == 0, F.concat(F.lit(BOUNDARY), F.left(core, F.lit(2)))).otherwise(F.left(core, F.lit(5)))
 
         return let(strip(s), mark)
 
-    kept = F.filter(sentences, lambda s: s.rlike(f"[^{WS}]"))
-    # without any, the text joined is empty, and has no boundary to split at
-    return F.slice(F.split(F.array_join(F.transform(kept, marked), ""), BOUNDARY, -1), 2, 1 << 30)
+    def cleaned(kept: Column) -> Column:
+        # without any, the text joined is empty, and has no boundary to split at
+        joined = F.slice(F.split(F.array_join(F.transform(kept, marked), ""), BOUNDARY, -1), 2, 1 << 30)
+        return F.when(F.exists(kept, lambda s: s.rlike(no_word)), joined).otherwise(F.transform(kept, rstrip))
+
+    return let(F.filter(sentences, lambda s: s.rlike(f"[^{WS}]")), cleaned)
 
 
 def sentences(text: Column) -> Column:
     """Cleaned sentences of a text by the universal splitter; an empty text has none."""
-    return F.when(text.rlike(f"[^{WS}]"), clean_sentences(raw_sentences(text))).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(text.rlike(f"[^{WS}]"), clean_sentences(_lines(text))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def clauses(sentence: Column) -> Column:

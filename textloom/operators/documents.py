@@ -41,21 +41,31 @@ def check_limits(max_tokens: int | None, max_sentences: int | None, max_section_
         raise MissingTokenCounterError()
 
 
-def _slices(s: Column, max_sentences: int | None, max_section_breaks: int | None) -> Column:
-    """Arrays of sentences by limits on sentences or sections alone, without overlap."""
-    if max_section_breaks is None:
+def _marked(sentences: Column) -> Column:
+    """Sentences with whether each is a heading: array of structs s, head. It is asked once for all that hangs on it."""
+    return F.transform(sentences, lambda x: F.struct(x.alias("s"), T.is_section_break(x).alias("head")))
+
+
+def _slices(marked: Column, max_sentences: int | None, max_section_breaks: int | None) -> Column:
+    """Arrays of marked sentences by limits on sentences or sections alone, without overlap."""
+
+    def by_sentences(m: Column) -> Column:
         n = max_sentences
-        return F.when(F.size(s) == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / n).cast("int")), lambda k: F.slice(s, k * n + 1, F.lit(n))))
-    heads = F.filter(F.transform(s, lambda x, i: F.when(T.is_section_break(x), i)), lambda i: i.isNotNull())
-    # a chunk starts at the text's start and at every max_section_breaks-th heading after the first
-    first = F.filter(F.transform(heads, lambda i, k: F.when((k > 0) & (k % max_section_breaks == 0), i)), lambda i: i.isNotNull())
-    begins = F.concat(F.array(F.lit(0)), first)
-    ends = F.concat(first, F.array(F.size(s)))
-    return F.when(F.size(s) == 0, F.array().cast("array<array<string>>")).otherwise(F.zip_with(begins, ends, lambda a, b: F.slice(s, a + 1, b - a)))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / n).cast("int")), lambda k: F.slice(m, k * n + 1, F.lit(n)))
+
+    def by_sections(m: Column) -> Column:
+        heads = F.filter(F.transform(m, lambda x, i: F.when(x["head"], i)), lambda i: i.isNotNull())
+        # a chunk starts at the text's start and at every max_section_breaks-th heading after the first
+        first = F.filter(F.transform(heads, lambda i, k: F.when((k > 0) & (k % max_section_breaks == 0), i)), lambda i: i.isNotNull())
+        return T.let(first, lambda f: F.zip_with(F.concat(F.array(F.lit(0)), f), F.concat(f, F.array(F.size(m))), lambda a, b: F.slice(m, a + 1, b - a)))
+
+    cut = by_sentences if max_section_breaks is None else by_sections
+    # none for a null text, none for one without sentences
+    return T.let(marked, lambda m: F.when(F.size(m) > 0, cut(m)))
 
 
-def _joined(sentences: Column) -> Column:
-    return T.strip(F.array_join(F.transform(sentences, lambda x: F.when(T.is_section_break(x), F.concat(F.lit("\n"), x)).otherwise(x)), "\n"))
+def _joined(marked: Column) -> Column:
+    return T.strip(F.array_join(F.transform(marked, lambda x: F.when(x["head"], F.concat(F.lit("\n"), x["s"])).otherwise(x["s"])), "\n"))
 
 
 def chunk_column(text: Column, sentences: Column, limits: Limits, token_counter: Callable | None = None, skip_errors: bool = False) -> Column:
@@ -119,8 +129,7 @@ def chunk_documents(
         sentences = F.slice(sentences, offset + 1, 1 << 30)
     plain = overlap_percent == 0 and max_tokens is None and (max_sentences is None or max_section_breaks is None)
     if plain and not spans:
-        base = df.select(*rest, sentences.alias("tl_s"))
-        chunks = base.select(*rest, F.posexplode(_slices(F.col("tl_s"), max_sentences, max_section_breaks)).alias("chunk_num", "tl_g"))
+        chunks = df.select(*rest, F.posexplode(_slices(_marked(sentences), max_sentences, max_section_breaks)).alias("chunk_num", "tl_g"))
         return chunks.select(*rest, (F.col("chunk_num") + 1).alias("chunk_num"), _joined(F.col("tl_g")).alias("content"))
     base = df.select(*rest, F.col(text).alias("tl_t"), sentences.alias("tl_s"))
     made = base.select(*rest, F.posexplode(chunk_column(F.col("tl_t"), F.col("tl_s"), limits, token_counter, on_errors != "raise")).alias("chunk_num", "c"))

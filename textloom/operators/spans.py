@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 def chunk_stats(chunks: DataFrame, by: list[str], content: str = "content") -> DataFrame:
@@ -22,12 +27,43 @@ def overlaps(chunks: DataFrame, key: str = "doc_id", number: str = "chunk_num",
 def cover(chunks: DataFrame, key: str = "doc_id", number: str = "chunk_num", start: str = "start", end: str = "end", most: int = 2) -> DataFrame:
     """key, start, end, chunks: stretches of a text that the same chunks cover, with the first `most` of these.
 
-    Stretches stand for their positions, so that the result grows with the chunks, not with the letters."""
-    found = chunks.where((F.col(start) >= 0) & (F.col(end) > F.col(start))).select(F.col(key), F.col(number).alias("tl_n"), F.col(start).alias("tl_a"), F.col(end).alias("tl_b"))
-    edges = found.select(key, F.explode(F.array("tl_a", "tl_b")).alias("tl_e")).distinct()
-    w = Window.partitionBy(key).orderBy("tl_e")
-    pieces = edges.select(key, F.col("tl_e").alias("start"), F.lead("tl_e").over(w).alias("end")).where("end is not null")
-    inside = pieces.join(found, key).where("tl_a <= start and start < tl_b")
-    return inside.groupBy(key, "start", "end").agg(F.slice(F.sort_array(F.collect_list(F.struct("tl_a", "tl_n"))), 1, most).alias("c")).select(key, "start", "end", F.col("c.tl_n").alias("chunks"))
+    Stretches stand for their positions, so that the result grows with the chunks, not with the letters. A text's chunks
+    are gone through once, in order, with those held that haven't ended yet: no chunk is compared with all others.
+    Chunks that weren't found (-1) or are empty cover nothing."""
+    kind = dict(chunks.dtypes)
+    chunk = F.struct(F.col(start).cast("long").alias("a"), F.col(number).cast("long").alias("n"), F.col(end).cast("long").alias("b"))
+    found = chunks.where((F.col(start) >= 0) & (F.col(end) > F.col(start))).groupBy(key).agg(F.sort_array(F.collect_list(chunk)).alias("tl_c"))
+
+    @arrow_udf("array<struct<start:long,end:long,chunks:array<long>>>")
+    def sweep(c: pa.Array) -> pa.Array:
+        flat = c.flatten()
+        a, n, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "n", "b"))
+        out, at = [], 0
+        for size in c.value_lengths().to_pylist():
+            out.append(_covered(a[at : at + size], n[at : at + size].tolist(), b[at : at + size], most))
+            at += size
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("chunks", pa.list_(pa.int64()))])))
+
+    each = found.select(key, F.inline(sweep.asNondeterministic()("tl_c")))
+    return each.select(key, F.col("start").cast(kind[start]).alias("start"), F.col("end").cast(kind[end]).alias("end"), F.col("chunks").cast(f"array<{kind[number]}>").alias("chunks"))
 
 
+def _covered(a: np.ndarray, n: list[int], b: np.ndarray, most: int) -> list[dict]:
+    """Stretches of one text; its chunks are in order of start and number."""
+    edges = np.unique(np.concatenate([a, b]))
+    begin = np.searchsorted(a, edges, "right").tolist()
+    ending = np.argsort(b, kind="stable")
+    over = np.searchsorted(b[ending], edges, "right").tolist()
+    ending, edges = ending.tolist(), edges.tolist()
+    held: list[int] = []  # chunks under way, in order
+    begun = ended = 0
+    out = []
+    for k in range(len(edges) - 1):
+        held.extend(range(begun, begin[k]))
+        begun = begin[k]
+        for i in ending[ended : over[k]]:
+            del held[bisect_left(held, i)]
+        ended = over[k]
+        if held:
+            out.append({"start": edges[k], "end": edges[k + 1], "chunks": [n[i] for i in held[:most]]})
+    return out

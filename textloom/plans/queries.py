@@ -13,6 +13,7 @@ from ..operators import sentences as S
 from ..operators import spans as P
 from ..operators.documents import chunk_documents, words
 from ..operators.packing import pack_paragraphs
+from ..sources.tables import dealt
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None):
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, dealt out for work on each of them: files can be few and large."""
-    return table(spark, sf_dir, "documents")
+    return dealt(table(spark, sf_dir, "documents"))
 
 
 def sents(spark: SparkSession, sf_dir: str) -> DataFrame:
