@@ -1,6 +1,8 @@
 """WARC records and their assembly."""
 
+import gzip
 import random
+import time
 
 from textloom.llm import warc as W
 
@@ -30,7 +32,95 @@ def test_round_trip_and_files(spark, tmp_path):
     (tmp_path / "empty.warc").write_bytes(b"")
     read = W.read_warc(spark, str(tmp_path))
     assert sorted(r.record_id for r in read.collect()) == ["<a>", "<a>", "<b>", "<b>", "<c>", "<c>"]
-    assert list(W.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")) == []
+    assert [r["error"] for r in W.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")] == ["Content-Length 'x'"]
+
+
+def damaged(rows, k, zipped, how):
+    parts = [W.serialise(r, zipped) for r in rows]
+    parts[k] = how(parts[k])
+    return list(W.parse(b"".join(parts)))
+
+
+def test_damage_costs_only_what_is_damaged(spark, tmp_path):
+    rows = [rec(f"<{k}>", "response", block=bytes([65 + k]) * 3000 + b"\r\n") for k in range(5)]
+    names = lambda got: [r["record_id"] for r in got if "error" not in r]
+    errors = lambda got: [r["error"] for r in got if "error" in r]
+    for how in (lambda x: x.replace(b"Length: 3002", b"Length: many"), lambda x: x.replace(b"Length: 3002", b"Length: 99999999"), lambda x: x.replace(b"Length: 3002", b"Length: 30"), lambda x: x.replace(b"Content-Length: 3002\r\n", b""), lambda x: x[:200], lambda x: x[:-1000]):
+        got = damaged(rows, 2, False, how)
+        assert names(got) == ["<0>", "<1>", "<3>", "<4>"] and len(errors(got)) == 1
+    flip = lambda x: x[:30] + bytes([x[30] ^ 0xFF]) + x[31:]
+    got = damaged(rows, 2, True, flip)
+    assert names(got) == ["<0>", "<1>", "<3>", "<4>"] and errors(got)
+    got = damaged(rows, 4, True, lambda x: x[:-12])
+    assert names(got) == ["<0>", "<1>", "<2>", "<3>"] or errors(got)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(flip(W.serialise(r, True)) if k == 1 else W.serialise(r, True) for k, r in enumerate(rows)))
+    read = W.read_warc(spark, str(tmp_path))
+    assert sorted(r.record_id for r in read.where("error is null").collect()) == ["<0>", "<2>", "<3>", "<4>"]
+    assert read.where("error is not null").count() >= 1
+    assert W.assemble(read).count() == 4
+
+
+def test_reading_is_linear_and_holds_little():
+    one = W.serialise(rec("<x>", "response", block=b"x" * 20_000), True)
+    took = []
+    for n in (500, 4000):
+        data = one * n
+        began = time.process_time()
+        assert sum(1 for _ in W.parse(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 20 * took[0] + 0.5
+    whole = gzip.compress(W.serialise(rec("<x>", "response", block=b"y" * 50_000)) * 200)
+    assert sum(len(r["block"]) for r in W.parse(whole)) == 200 * 50_000
+
+
+def brute(rows):
+    """Captures by following every identifier; the contents of each as plain tuples."""
+    link = {}
+
+    def root(x):
+        while link.setdefault(x, x) != x:
+            x = link[x]
+        return x
+
+    for n, r in enumerate(rows):
+        own = r["record_id"] if r["record_id"] is not None else ("none", n)
+        for t in r["concurrent_to"] or []:
+            if t is not None:
+                link[root(own)] = root(t)
+    groups = {}
+    for n, r in enumerate(rows):
+        if r["record_id"] is not None or any(t is not None for t in r["concurrent_to"] or []):
+            groups.setdefault(root(r["record_id"] if r["record_id"] is not None else ("none", n)), set()).add(tuple(r[k] for k in ("warc_date", "record_id", "warc_type", "target_uri", "content_type", "block")))
+    nulls_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    out = []
+    for name, g in groups.items():
+        rs = sorted(g, key=nulls_first)
+        ids = [r[1] for r in rs if r[1] is not None] or [x for x in link if isinstance(x, str) and root(x) == name]
+        of = lambda kind, rs=rs: [r for r in rs if (r[2] or "") == kind]
+        req, res, meta = of("request"), of("response"), of("metadata")
+        rest = [r for r in rs if (r[2] or "") not in ("request", "response", "metadata")]
+        out.append((res[0][1] if res and res[0][1] is not None else min(ids), res[0][3] if res and res[0][3] is not None else rs[0][3], len(rs), req[0] if req else None, res[0] if res else None, meta, req[1:] + res[1:] + rest))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_contents_against_a_search(spark):
+    """Ties between responses and requests, repeated rows, long bodies, nulls: the whole of every row."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(50):
+        main = f"r{k:02}"
+        for j in range(rng.choice([1, 1, 1, 2, 3])):
+            rows.append(rec(main if not j else f"{main}-{j}", "response", [main] if j else [], rng.choice([None, b"", b"body", b"z" * 200_000 if k == 3 else b"q"]), rng.choice([DATE, "2023-01-01", None])))
+        for j in range(rng.choice([0, 1, 2])):
+            rows.append({**rec(f"{main}q{j}", "request", [main], b"GET"), "target_uri": rng.choice([URL, None])})
+        for j in range(rng.choice([0, 1, 2])):
+            rows.append(rec(rng.choice([None, f"{main}m{j}"]), "metadata", [rng.choice([main, f"{main}q0"])], rng.choice([b"m1", b"m2"])))
+        if rng.random() < 0.3:
+            rows.append(rec(f"{main}x", rng.choice(["revisit", None, "warcinfo"]), [main]))
+    rows += rows[:20]
+    plain = lambda s: None if s is None else tuple(bytes(x) if isinstance(x, bytearray) else x for x in s)
+    got = [(r.capture_id, r.target_uri, r.n_records, plain(r.request), plain(r.response), [plain(x) for x in r.metadata], [plain(x) for x in r.others]) for r in W.assemble(frame(spark, rows).repartition(5)).collect()]
+    assert sorted(got, key=lambda r: (r[0], r[2])) == brute(rows)
 
 
 def test_capture(spark):

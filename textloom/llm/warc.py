@@ -8,6 +8,7 @@ the identifiers that are linked are gathered first. Record bodies are moved once
 from __future__ import annotations
 
 import gzip
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,42 +20,130 @@ from .common import durable, table
 from .graph import components
 
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, concurrent_to array<string>, content_type string, block binary"
+READ = f"{RECORD}, error string"
 _FIELDS = ["record_id", "warc_type", "target_uri", "warc_date", "content_type", "block"]
 
 
+_GZIP = b"\x1f\x8b\x08"
+_HEAD = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
+_STEP = 1 << 16
+
+
+class _Broken(str):
+    """Why a part of a file can't be read, in the stream of what can."""
+
+
+def _inflated(data: bytes) -> Iterator[bytes | _Broken]:
+    """The contents of gzip members one after another, a little at a time; behind one that is broken, reading goes on with the next."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        if data[at : at + 3] != _GZIP:
+            if any(view[at : at + _STEP]):
+                yield _Broken("not a gzip member")
+            following = data.find(_GZIP, at)
+            at = following if following >= 0 else len(data)
+            continue
+        d, p = zlib.decompressobj(31), at
+        try:
+            while not d.eof and p < len(data):
+                chunk = view[p : p + _STEP]
+                p += len(chunk)
+                if out := d.decompress(chunk):
+                    yield out
+            if not d.eof:
+                yield _Broken("the last gzip member ends too soon")
+            at = p - len(d.unused_data)
+        except zlib.error as e:
+            yield _Broken(f"gzip member: {e}")
+            following = data.find(_GZIP, at + 1)
+            at = following if following >= 0 else len(data)
+
+
+class _Window:
+    """A stream of pieces, of which what is still needed is held."""
+
+    def __init__(self, pieces: Iterator[bytes | _Broken]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+
+    def more(self) -> _Broken | bool:
+        """Takes in another piece: True; False at the end; or what is broken there."""
+        piece = next(self.pieces, None)
+        if piece is None or isinstance(piece, _Broken):
+            return False if piece is None else piece
+        self.held += piece
+        return True
+
+    def drop(self) -> None:
+        """Forgets what was read, now and then, so that it costs no more than reading."""
+        if self.at > 1 << 20:
+            del self.held[: self.at]
+            self.at = 0
+
+
+def _unreadable(why: str) -> dict:
+    return dict.fromkeys(("record_id", "warc_type", "target_uri", "warc_date", "content_type", "block")) | {"concurrent_to": [], "error": why}
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, gzipped by record or as a whole, or not at all. Header names match in any case; what can't be read as a record ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        whole = []
-        while data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            whole.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(whole)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    """Records of a WARC file, gzipped by record or as a whole, or not at all, read in one pass in which a record or so is held. Header names match in any case.
+
+    What can't be read (a broken gzip member, a length that is no number or doesn't lead to a record's end, a file that
+    ends in a record) gives a row of nulls with `error`, and reading goes on with the next thing that looks like a record's first line."""
+    zipped = data[:2] == _GZIP[:2]
+    w = _Window(_inflated(data) if zipped else (data[k : k + (1 << 20)] for k in range(0, len(data), 1 << 20)))
+    while True:
+        w.drop()
+        start = w.at
+        while (m := _HEAD.search(w.held, start)) is None:
+            start = max(w.at, len(w.held) - 10)
+            if (got := w.more()) is False:
+                return
+            if got is not True:
+                yield _unreadable(got)
+                w.held, w.at, start = bytearray(), 0, 0
+        at = from_ = m.start()
+        broken = None
+        while (end := w.held.find(b"\r\n\r\n", from_)) < 0:
+            from_ = max(at, len(w.held) - 3)
+            if (got := w.more()) is not True:
+                broken = got or _Broken("the file ends in a record's headers")
+                break
+        if broken is not None:
+            yield _unreadable(broken)
+            w.held, w.at = bytearray(), 0
+            continue
+        if (m := _HEAD.search(w.held, at + 10, end)) is not None:
+            yield _unreadable("a record's headers end too soon")
+            w.at = m.start()
+            continue
         headers: dict[str, list[str]] = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in w.held[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
         one = lambda k: headers.get(k, [None])[0]
-        try:
-            size = int(one("content-length") or 0)
-        except ValueError:
-            return
-        yield {
-            "record_id": one("warc-record-id"),
-            "warc_type": one("warc-type"),
-            "target_uri": one("warc-target-uri"),
-            "warc_date": one("warc-date"),
-            "concurrent_to": headers.get("warc-concurrent-to", []),
-            "content_type": one("content-type"),
-            "block": data[end + 4 : end + 4 + size],
-        }
-        at = end + 4 + size
+        given = one("content-length")
+        if given is None or not given.isascii() or not given.isdigit():
+            yield _unreadable(f"Content-Length {given!r}")
+            w.at = end + 4
+            continue
+        size, at = int(given), end + 4
+        # a record ends in two line breaks, but for the last of some files
+        while broken is None and len(w.held) < at + size + 4:
+            if (got := w.more()) is not True:
+                broken = got or _Broken("")
+        rest = w.held[at + size : at + size + 4]
+        if len(w.held) < at + size or (rest[:2] != b"\r\n" and len(rest)):
+            yield _unreadable(broken or f"Content-Length {size} doesn't lead to the record's end")
+            if broken:
+                w.held, w.at = bytearray(), 0
+            else:
+                w.at = at
+            continue
+        yield {"record_id": one("warc-record-id"), "warc_type": one("warc-type"), "target_uri": one("warc-target-uri"), "warc_date": one("warc-date"), "concurrent_to": headers.get("warc-concurrent-to", []), "content_type": one("content-type"), "block": bytes(w.held[at : at + size])}
+        w.at = at + size
+        if broken:
+            yield _unreadable(broken)
+            w.held, w.at = bytearray(), 0
 
 
 def serialise(record: dict, zipped: bool = False) -> bytes:
@@ -70,22 +159,26 @@ def serialise(record: dict, zipped: bool = False) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at path."""
+    """Records of the WARC files at path, with error: null, or why a part of a file couldn't be read.
+
+    A file is one row for Spark, of 2 GB at most as it lies there; its contents are inflated and cut as they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    schema = pa.schema([(n, pa.binary() if n == "block" else pa.list_(pa.string()) if n == "concurrent_to" else pa.string()) for n in [f.split()[0] for f in RECORD.split(", ")]])
+    schema = pa.schema([(n, pa.binary() if n == "block" else pa.list_(pa.string()) if n == "concurrent_to" else pa.string()) for n in [f.split()[0] for f in READ.split(", ")]])
 
     def rows(batches):
         for batch in batches:
             for content in batch.column(0):
                 held: list[dict] = []
+                n = 0
                 for r in parse(content.as_py()):
                     held.append(r)
-                    if len(held) == 256:
+                    n += len(r["block"] or b"")
+                    if len(held) == 256 or n > 1 << 26:
                         yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+                        held, n = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return files.mapInArrow(rows, RECORD)
+    return files.mapInArrow(rows, READ)
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
@@ -120,10 +213,8 @@ def _capture_names(records: DataFrame) -> DataFrame:
     extra = durable(further.union(chained).where("x <> y"))
     if extra.isEmpty():
         return own.withColumn("tl_capture", F.col("tl_first"))
-    ids = durable(extra.select(F.col("x").alias("id")).union(extra.select("y")).distinct().select("id", F.xxhash64("id").alias("h")))
-    edges = extra.join(ids.select(F.col("id").alias("x"), F.col("h").alias("a")), "x").join(ids.select(F.col("id").alias("y"), F.col("h").alias("b")), "y").select("a", "b")
-    groups = components(edges).join(ids, F.col("node") == F.col("h")).select("id", "component")
-    names = durable(groups.join(groups.groupBy("component").agg(F.min("id").alias("tl_name")), "component").select(F.col("id").alias("tl_first"), "tl_name"))
+    # the identifiers themselves are the graph's nodes: no hash can make two captures one
+    names = durable(components(extra.select(F.col("x").alias("a"), F.col("y").alias("b")))).select(F.col("node").alias("tl_first"), F.col("component").alias("tl_name"))
     return own.join(names, "tl_first", "left").withColumn("tl_capture", F.coalesce("tl_name", "tl_first"))
 
 
@@ -132,7 +223,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records are of one capture if a chain of concurrent-to identifiers, followed either way, leads from one to the other;
     identifiers of records that aren't there link too. capture_id is the response's record_id, or the least record_id
-    without a response. Of several responses or requests the one of least date and identifier is taken,
+    without a response, or the least identifier they name if none has its own. Of several responses or requests the one of least date and identifier is taken,
     and the rest are in others, as are records of further types. A repeated record counts once. A record without identifier
     joins what it names; if it names nothing, it is left out. Null blocks stay null. Further columns are ignored."""
     r = records.select(*_FIELDS, "concurrent_to").where("record_id is not null or size(filter(concurrent_to, x -> x is not null)) > 0")
@@ -142,7 +233,7 @@ def assemble(records: DataFrame) -> DataFrame:
     of = lambda kind: F.filter("r", lambda x: F.coalesce(x["warc_type"], F.lit("")) == kind)
     first = lambda kind: F.get(of(kind), F.lit(0))
     out = every.select(
-        F.coalesce(first("response")["record_id"], F.array_min(F.transform("r", lambda x: x["record_id"]))).alias("capture_id"),
+        F.coalesce(first("response")["record_id"], F.array_min(F.transform("r", lambda x: x["record_id"])), F.col("tl_capture")).alias("capture_id"),
         F.coalesce(first("response")["target_uri"], F.get(F.transform("r", lambda x: x["target_uri"]), F.lit(0))).alias("target_uri"),
         F.size("r").alias("n_records"),
         first("request").alias("request"),
