@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from textloom.llm import line_dedup as D
 
 
@@ -81,3 +83,25 @@ def test_stage_cuts_lines_and_keeps_the_rest(spark):
     out = D.stage(spark, df, "")
     assert out.columns == df.columns
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, docs[0][1], 26), (2, "more", 4), (4, None, None), (5, "", 0), (None, docs[0][1], 26)}
+
+
+def thue_morse(n):
+    """Two words that differ in every letter; sums modulo a power of two can't tell them apart, whatever their base."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate({97: "b", 98: "a"})
+    return x, x.translate({97: "b", 98: "a"})
+
+
+def test_lines_that_sums_modulo_two_to_the_64_confuse(spark):
+    docs = list(enumerate(thue_morse(4096)))
+    assert D.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_a_line_of_every_document(spark, parts):
+    """One line that all documents have, twice each: the earliest of all is named, whatever blocks the others are in."""
+    line = "this line stands in every document"
+    docs = [(k, f"{line}\nown line of document {k * 7919}{'x' * k}\n{line}") for k in range(50, 0, -1)]
+    rows = D.removed_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).where("distance = 0").collect()
+    assert {(r.doc_id, r.line, r.kept_doc_id, r.kept_line) for r in rows} == {(k, n, 1, 0) for k in range(1, 51) for n in (0, 2)} - {(1, 0, 1, 0)} and len(rows) == 99

@@ -73,3 +73,27 @@ def test_empty_table_and_long_text(spark):
     assert S.repeated_spans(none).count() == 0
     rows = S.repeated_spans(spark.createDataFrame([(1, "same " * 400_000)], "doc_id long, text string")).collect()
     assert [(r.unit, r.start, r.end, r.kept_start) for r in rows] == [("passage", 5, 1_999_999, 0)]
+
+
+def thue_morse(n):
+    """Two words that differ in every letter; sums modulo a power of two can't tell them apart, whatever their base."""
+    x = "a"
+    while len(x) < n:
+        x += x.translate({97: "b", 98: "a"})
+    return x, x.translate({97: "b", 98: "a"})
+
+
+def test_words_that_sums_modulo_two_to_the_64_confuse(spark):
+    a, b = thue_morse(4096)
+    docs = [(1, f"one two three four {a}"), (2, f"one two three four {b}")]
+    assert S.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def test_a_line_and_a_passage_of_every_document(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    docs = [(k, f"the same line in all of them\nown{k} {passage} end{k}") for k in range(60, 0, -1)]
+    rows = S.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in rows if r.unit == "line"} == {(k, 1) for k in range(2, 61)}
+    found = [r for r in rows if r.unit == "passage"]
+    assert sorted(r.doc_id for r in found) == list(range(2, 61)) and all(dict(docs)[r.doc_id][r.start : r.end].endswith(passage) and r.kept_doc_id < r.doc_id for r in found)

@@ -262,6 +262,13 @@ def starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
+def starts_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of rows that are equal in all keys begins."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])]))
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c in counts, one after another."""
     counts = np.asarray(counts, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from . import kernels as K
-from .common import Scatter, block_reduce, bucket_of, durable, joined, parts, starts, table, texts_of
+from .common import Scatter, block_reduce, bucket_of, durable, joined, parts, starts, starts_of, table, texts_of
 
 SEGMENTS = 4
 #: Lines with fewer characters aren't compared: they say too little to be copies.
@@ -50,12 +50,29 @@ def _segment_keys(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1) if len(s) else np.zeros((0, 2 * SEGMENTS), np.uint64)
 
 
-_LINE = ["u8", "i8", "i4", "i4", "i4"] + ["u8"] * (2 * SEGMENTS)
+#: key, check, doc, line, start, end; kept_doc, kept_line; keys of the pieces
+_LINE = ["u8", "u4", "i8", "i4", "i4", "i4", "i8", "i4"] + ["u8"] * (2 * SEGMENTS)
+#: Lines that are compared on the map side, before they are shuffled.
+_HOLD = 1 << 18
 
 
 def _line_rows(buckets: int, min_chars: int):
+    """Of equal lines in a block only the first goes to the key's bucket, so that a line that very many documents have is a row a block there. The others are known to go; they go to their documents' buckets, with the first's place."""
+
+    def combined(out: Scatter, key, check, doc, line, start, end, segments) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((line, doc, check, key))
+        first = starts_of(key[order], check[order])
+        of = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        later = (doc[order] != doc[of]) | (line[order] != line[of])
+        at = np.sort(order[first])
+        yield from out.add(bucket_of(key[at], buckets), key[at], check[at], doc[at], line[at], start[at], end[at], np.zeros(len(at)), np.full(len(at), -1), *segments[at].T)
+        at, to = order[later], of[later]
+        none = np.zeros(len(at))
+        yield from out.add(bucket_of(K.mix(doc[at]), buckets), none, none, doc[at], line[at], start[at], end[at], doc[to], line[to], *[none] * (2 * SEGMENTS))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Scatter(buckets, _LINE, 1 << 18)
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in K.slices(texts):
@@ -64,8 +81,12 @@ def _line_rows(buckets: int, min_chars: int):
                 long = np.flatnonzero(x.last - x.first >= min_chars)
                 s, e, row = x.first[long], x.last[long], x.row[long]
                 h = K.prefix(K.values(cp))
-                key = K.span_hash(h, s, e)
-                yield from out.add(bucket_of(key, buckets), key, ids[a:b][row], x.number[long], x.start[long] - at[row], x.end[long] - at[row], *_segment_keys(h.wide, s, e).T)
+                held.append((K.span_hash(h, s, e), K.span_check(h, s, e), ids[a:b][row], x.number[long], x.start[long] - at[row], x.end[long] - at[row], _segment_keys(h.wide, s, e)))
+                if sum(len(h[0]) for h in held) >= _HOLD:
+                    yield from combined(out, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+        if held:
+            yield from combined(out, *(np.concatenate(c) for c in zip(*held, strict=True)))
         yield from out.flush()
 
     return rows
@@ -78,25 +99,40 @@ def _batch(**columns) -> pa.RecordBatch:
 def _exact(buckets: int, scatter: Scatter):
     """Lines by equality: the later ones of equal lines, and the segment keys of the earliest, in one table."""
 
-    def reduce(key, doc, line, start, end, *segments):
-        order = np.lexsort((line, doc, key))
-        key, doc, line, start, end = (c[order] for c in (key, doc, line, start, end))
-        first = starts(key)
-        of = np.repeat(first, np.diff(np.append(first, len(key))))
-        gone = np.flatnonzero((doc != doc[of]) | (line != line[of]))
+    def reduce(key, check, doc, line, start, end, kept_doc, kept_line, *segments):
+        local = np.flatnonzero(kept_line >= 0)
+        order = np.flatnonzero(kept_line < 0)
+        order = order[np.lexsort((line[order], doc[order], check[order], key[order]))]
+        # a document's row that is repeated has the same lines
+        order = order[starts_of(key[order], check[order], doc[order], line[order])]
+        first = starts_of(key[order], check[order])
+        of = np.repeat(order[first], np.diff(np.append(first, len(order))))
+        later = (doc[order] != doc[of]) | (line[order] != line[of])
+        gone, of = np.concatenate([order[later], local]), of[later]
         none = {f"c{k}": pa.nulls(len(gone), pa.binary()) for k in range(3)}
-        yield _batch(doc_id=doc[gone], line=line[gone], start=start[gone], end=end[gone], kept_doc_id=doc[of[gone]], kept_line=line[of[gone]], distance=np.zeros(len(gone), np.int32), bucket=pa.nulls(len(gone), pa.int32()), **none)
+        yield _batch(doc_id=doc[gone], line=line[gone], start=start[gone], end=end[gone], kept_doc_id=np.concatenate([doc[of], kept_doc[local]]), kept_line=np.concatenate([line[of], kept_line[local]]), distance=np.zeros(len(gone), np.int32), tl_local=np.arange(len(gone)) >= len(of), bucket=pa.nulls(len(gone), pa.int32()), **none)
         out = Scatter(buckets, ["u8", "i8", "i4"], 1 << 19)
+        one = order[first]
         for j, segment in enumerate(segments):
-            k = segment[order][first]
+            k = segment[one]
             # the low bits of the line's number say which of its pieces this is
-            for batch in [*out.add(bucket_of(k, buckets), k, doc[first], line[first] * (2 * SEGMENTS) + j), *(out.flush() if j == 2 * SEGMENTS - 1 else ())]:
-                nulls = {n: pa.nulls(len(batch), t) for n, t in (("doc_id", pa.int64()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_line", pa.int32()), ("distance", pa.int32()))}
+            for batch in [*out.add(bucket_of(k, buckets), k, doc[one], line[one] * (2 * SEGMENTS) + j), *(out.flush() if j == 2 * SEGMENTS - 1 else ())]:
+                nulls = {n: pa.nulls(len(batch), t) for n, t in (("doc_id", pa.int64()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_line", pa.int32()), ("distance", pa.int32()), ("tl_local", pa.bool_()))}
                 yield _batch(**nulls, **{n: batch.column(n) for n in ("bucket", "c0", "c1", "c2")})
 
     return reduce
 
 
+def _named(gone: DataFrame) -> DataFrame:
+    """The lines that are gone, each with the earliest of all: an earlier one of the same block may have one before it in turn."""
+    columns = [c.split()[0] for c in REMOVED.split(", ")]
+    first = gone.where("not tl_local").select(*columns)
+    of = first.select(F.col("doc_id").alias("kept_doc_id"), F.col("line").alias("kept_line"), F.col("kept_doc_id").alias("tl_doc"), F.col("kept_line").alias("tl_line")).distinct()
+    local = gone.where("tl_local").join(of, ["kept_doc_id", "kept_line"], "left")
+    local = local.withColumn("kept_doc_id", F.coalesce("tl_doc", "kept_doc_id")).withColumn("kept_line", F.coalesce("tl_line", "kept_line"))
+    return first.union(local.select(*columns)).distinct()
+
+
 def _alike(key, doc, piece):
     """Pieces whose key another line has too."""
     order = np.lexsort((piece, doc, key))
@@ -194,14 +230,15 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     Lines are what newlines separate. Null and empty texts have none; rows without a key take no part; lines of fewer than
     min_chars characters are left alone. Rows with the same key count as one document: lines at the same number in them
-    don't remove each other. Of several earlier lines within the bound, the earliest is named."""
+    don't remove each other. Of several earlier lines within the bound, the earliest is named. Lines of equal digests (64 bits and 31 more,
+    of independent sums) are taken as equal; near ones are compared letter by letter."""
     spark = docs.sparkSession
     n = parts(spark)
     own = texts_of(docs, key, text)
     lines = own.mapInArrow(_line_rows(n, min_chars), Scatter(n, _LINE).schema)
     scatter = Scatter(n, ["u8", "i8", "i4"])
-    first = durable(block_reduce(lines, n, _LINE, _exact(n, scatter), f"{REMOVED}, {scatter.schema}"))
-    exact = first.where("bucket is null").select("doc_id", "line", "start", "end", "kept_doc_id", "kept_line", "distance")
+    first = durable(block_reduce(lines, n, _LINE, _exact(n, scatter), f"{REMOVED}, tl_local boolean, {scatter.schema}"))
+    exact = _named(first.where("bucket is null").drop("bucket", "c0", "c1", "c2"))
     alike = block_reduce(first.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n, ["u8", "i8", "i4"], _alike, "tl_doc long, piece int")
     pieces = durable(alike.groupBy("tl_doc").agg(F.collect_set("piece").alias("pieces")))
     scatter = Scatter(n, _VARIANT)
@@ -241,13 +278,16 @@ def _without_lines(texts: pa.Array, lines: pa.Array) -> pa.Array:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without those lines; a document of which nothing is left goes, others stay, also with null or empty text."""
+    """The documents without those lines; a document of which nothing is left goes, others stay, also with null or empty text. n_chars, if there is such a column, follows the text."""
     gone = durable(removed_lines(docs).groupBy(F.col("doc_id").alias("tl_doc")).agg(F.collect_set("line").alias("tl_lines")))
     names = docs.columns
     own = docs.select(*[docs[c].alias(f"tl_c{k}") for k, c in enumerate(names)], docs["doc_id"].cast("long").alias("tl_doc"))
-    text, n_chars = f"tl_c{names.index('text')}", f"tl_c{names.index('n_chars')}"
+    text = f"tl_c{names.index('text')}"
     cut = joined(own, gone, "tl_doc", "left").withColumn("tl_text", _without_lines.asNondeterministic()(F.col(text), F.col("tl_lines")))
     cut = cut.where("tl_lines is null or tl_text is not null")
     changed = F.col("tl_lines").isNotNull()
-    new = {text: F.when(changed, F.col("tl_text")).otherwise(F.col(text)), n_chars: F.when(changed, F.length("tl_text")).otherwise(F.col(n_chars))}
+    new = {text: F.when(changed, F.col("tl_text")).otherwise(F.col(text))}
+    if "n_chars" in names:
+        n_chars = f"tl_c{names.index('n_chars')}"
+        new[n_chars] = F.when(changed, F.length("tl_text")).otherwise(F.col(n_chars))
     return cut.select(*[new.get(f"tl_c{k}", F.col(f"tl_c{k}")).alias(c) for k, c in enumerate(names)])
