@@ -5,6 +5,8 @@ import bz2
 import gzip
 import lzma
 import random
+import re
+import time
 import urllib.parse
 import zlib
 
@@ -139,3 +141,71 @@ def test_table(spark):
     rows = df.select("doc_id", S.scan_text(df).alias("v")).collect()
     assert sorted((r.doc_id or 0, len(r.v)) for r in rows) == [(0, 1), (1, 1), (1, 1), (2, 0)]
     assert df.limit(0).select(S.scan_text(df)).count() == 0
+
+
+def test_wide_text_and_escaped_bytes():
+    say = f"say {KEY} now"
+    code = lambda b: base64.b64encode(b).decode()
+    packs = [gzip.compress(say.encode()), zlib.compress(say.encode()), zstandard.compress(say.encode()), bz2.compress(say.encode()), lzma.compress(say.encode())]
+    inner = [code(say.encode(c)) for c in ("utf-16", "utf-16-le", "utf-16-be")]
+    inner += [code(gzip.compress(say.encode("utf-16-le")))]
+    inner += [urllib.parse.quote_from_bytes(b, safe="") for b in packs]
+    inner += ["".join(f"%{x:02x}" for x in b) for b in packs] + ["".join(f"\\x{x:02x}" for x in b) for b in packs]
+    inner += [urllib.parse.quote_from_bytes(gzip.compress(zlib.compress(say.encode())))]
+    for x in inner:
+        text = f"é before {x} after"
+        found = S.scan(text)
+        # some packers leave short texts as they are, so that the key can be read beside its layer
+        assert found
+        for f in found:
+            assert f["fingerprint"] == S.scan(KEY)[0]["fingerprint"] and 9 <= f["start"] < f["end"] <= 9 + len(x), x
+
+
+def test_what_is_not_gone_into_is_said():
+    noise = random.Random(1).randbytes(60_000)
+    (f,) = S.scan("x " + base64.b64encode(zlib.compress(noise)).decode() + " y", S.Limits(inflated=5000))
+    assert (f["rule"], f["start"], f["path"]) == ("unscanned", 2, "base64>zlib")
+
+
+def brute(text, seen=None, depth=0):
+    """Secrets in any layer, by decoding whatever can be decoded, everywhere, without regard to places."""
+    seen = set() if seen is None else seen
+    if text in seen or depth > 6:
+        return set()
+    seen.add(text)
+    out = {f["fingerprint"] for f in S.scan(text) if f["depth"] == 0}
+    found = [urllib.parse.unquote(text)]
+    found.append(re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text))
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        raw = base64.b64decode(m[0].rstrip("=").replace("-", "+").replace("_", "/") + "=" * (-len(m[0].rstrip("=")) % 4))
+        for unpack in (lambda b: b, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda b: zstandard.ZstdDecompressor().decompress(b, max_output_size=1 << 20)):
+            try:
+                found.append(unpack(raw).decode())
+            except Exception:
+                continue
+    for x in found:
+        out |= brute(x, seen, depth + 1)
+    return out
+
+
+def test_every_decoding_against_brute_force():
+    """Random nests of several secrets and plain words: what the worklist finds is what trying everything finds."""
+    rng = random.Random(17)
+    names = [n for n in WRAPS if n != "twice"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.choice([f"key {KEY[:-2]}{rng.randrange(10, 99)} end", 'token = "24be04dbebab91ab85687d33ee%02d"' % rng.randrange(99), "only plain words here and there", "ghp_" + "a1B2" * 9])
+            for _ in range(rng.randrange(4)):
+                x = WRAPS[rng.choice(names)](x)
+            parts.append(x)
+        text = " and ".join(parts)
+        assert {f["fingerprint"] for f in S.scan(text)} == brute(text), text
+
+
+def test_hostile_nests_take_no_time():
+    began = time.process_time()
+    for n in (100, 1000):
+        S.scan("%25" * (n // 6) + "41" + "&#38;" * (n // 10) + "#65;")
+        S.scan(("%" + "25" * 3) * (n // 7) + "\\\\u005c" * (n // 6))
+    assert time.process_time() - began < 2

@@ -1,8 +1,8 @@
 """Secret scans through layers of encoding.
 
 A text is the first layer on a worklist. Each layer is scanned by the rules, and every stretch of it that is
-encoded (base64, and compressed data inside base64) becomes a layer of its own, as does the whole of it with its
-URL escapes or its Unicode escapes replaced, until there is none left. A stretch that decodes to one of the layers it came from is a cycle and
+encoded (base64, and compressed data or sixteen-bit text inside base64) becomes a layer of its own, as does the whole of it with its
+URL escapes or its Unicode escapes replaced, and compressed data whose bytes are escaped, until there is none left. A stretch that decodes to one of the layers it came from is a cycle and
 isn't followed. Every character of a layer knows where in the document it comes from, so that what is
 found anywhere is reported by its place in the document's text.
 """
@@ -48,7 +48,7 @@ RULES: list[tuple[str, re.Pattern, tuple[str, ...]]] = [
 
 @dataclass(frozen=True)
 class Limits:
-    #: Shorter runs of base64 letters aren't decoded; line breaks inside them don't count.
+    #: Shorter runs of base64 letters aren't decoded, as they hold less than any rule looks for; line breaks inside them don't count.
     base64_chars: int = 20
     #: Share of a decoded text that must be printable.
     printable: float = 0.9
@@ -70,6 +70,8 @@ class Layer:
     cuts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)
     #: Of a window of a longer text, whether it is the first and the last.
     window: tuple[bool, bool] | None = None
+    #: Whether it stands for contents that are neither held nor text.
+    unscanned: bool = False
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -83,6 +85,9 @@ _BASE64 = "A-Za-z0-9+/_-"
 _LETTERS = re.compile(f"[{_BASE64}]+")
 #: How compressed data starts.
 _MAGIC = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd|BZh[1-9]|\xfd7zXZ\x00")
+#: Sixteen-bit text of ASCII letters, in either order of bytes.
+_WIDE = ((re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){8,}+"), "utf-16-le"), (re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){8,}+"), "utf-16-be"))
+_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+")
 _UTF8 = rb"[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
 
 
@@ -114,6 +119,28 @@ def _escaped(text: str, pattern: re.Pattern, decode) -> Iterator[tuple[str, np.n
         yield "".join([*out, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
+def _raw(text: str, pattern: re.Pattern, decode) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+    """(bytes, starts, ends) of the whole text in UTF-8 with its matches replaced by the bytes they stand for, if compressed data may be in it."""
+    out, where, at = [], [], 0
+    for m in pattern.finditer(text):
+        got = decode(m.group())
+        out += [text[at : m.start()].encode("utf-8", "replace"), got]
+        where.append((m.start(), m.end(), got))
+        at = m.end()
+    data = b"".join([*out, text[at:].encode("utf-8", "replace")])
+    if not at or not _MAGIC.search(data):
+        return None
+    starts, ends, at = [], [], 0
+    for a, b, got in [*where, (len(text), len(text), b"")]:
+        plain = np.repeat(np.arange(at, a), [len(c.encode("utf-8", "replace")) for c in text[at:a]])
+        # an escape of each byte has as many letters
+        own = a + (np.arange(len(got)) * (b - a)) // max(1, len(got))
+        starts += [plain, own]
+        ends += [plain + 1, own + (b - a) // max(1, len(got))]
+        at = b
+    return data, np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64)
+
+
 def _kind(head: bytes) -> str | None:
     if head[:2] == b"\x1f\x8b":
         return "gzip"
@@ -205,6 +232,16 @@ def _windows(data: bytes | memoryview, size: int) -> Iterator[tuple[tuple[str, .
     yield kinds, bytes(held), first, True
 
 
+def _wide_runs(data: bytes, a: int, b: int) -> list[tuple[int, str]]:
+    """(start, text) of sixteen-bit text in data[a:b]. Each order of bytes also fits the other's, but for a letter: the longer one is meant."""
+    every = sorted(((m.end() - m.start(), -m.start(), m.group().decode(code)) for pattern, code in _WIDE for m in pattern.finditer(data, a, b)), reverse=True)
+    out: list[tuple[int, str]] = []
+    for n, start, text in every:
+        if all(-start >= x + 2 * len(t) or x >= n - start for x, t in out):
+            out.append((-start, text))
+    return sorted(out)
+
+
 def _readable(data: bytes, limits: Limits) -> str | None:
     try:
         text = data.decode("utf-8")
@@ -255,19 +292,63 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
                 for x in of((*above_, *kinds), decoded, np.full(len(decoded), a), np.full(len(decoded), b), np.zeros(0, np.int64)):
                     x.window = first, last
                     yield x
+            elif part:
+                for x in of((*above_, *kinds), "\0", np.array([a]), np.array([b]), np.zeros(0, np.int64)):
+                    x.unscanned = True
+                    yield x
 
-    def base64_text(decoded: str, first: int, at: np.ndarray, breaks: np.ndarray) -> Iterator[Layer]:
-        """The layer of a text whose bytes are from `first` on in those of the letters at `at`."""
+    def base64_text(decoded: str, first: int, at: np.ndarray, breaks: np.ndarray, width: int = 0) -> Iterator[Layer]:
+        """The layer of a text whose bytes are from `first` on in those of the letters at `at`; width: bytes of each character, if they all have as many."""
         # character i of the text is from its bytes on, four letters hold three bytes
-        size = np.fromiter((len(c.encode()) for c in decoded), np.int64, len(decoded))
+        size = np.full(len(decoded), width) if width else np.fromiter((len(c.encode()) for c in decoded), np.int64, len(decoded))
         last = first + np.cumsum(size)
         starts, ends = at[(last - size) * 4 // 3], at[np.minimum(-(-last * 4 // 3), len(at)) - 1] + 1
         cuts = np.searchsorted(last, np.maximum(breaks, 0) * 3 // 4, "right")
-        yield from of(("base64",), decoded, starts, ends, np.unique(cuts[(cuts > 0) & (cuts < len(decoded))]))
+        yield from of(("base64", "utf16") if width else ("base64",), decoded, starts, ends, np.unique(cuts[(cuts > 0) & (cuts < len(decoded))]))
+
+    def packed(data: bytes, places, above_: tuple[str, ...]) -> Iterator[Layer | tuple[int, int]]:
+        """The layers of the compressed data in data, and between them (start, end) of what is none. places: where in the text the bytes from x to y are."""
+        view, done = memoryview(data), 0
+        for m in _MAGIC.finditer(data):
+            if m.start() < done or (inner := _inflate(view[m.start() :], limits.inflated)) is None:
+                continue
+            x, y = m.start(), m.start() + inner[2]
+            kind = above_
+            if inner[1] is None:
+                yield from large(view[x:], *places(x, len(data)), above_)
+                yield done, x
+                return
+            contents, seen = data, {data}
+            while inner is not None and inner[1] is not None:
+                kind, contents = (*kind, inner[0]), inner[1]
+                if contents in seen:
+                    contents = b""
+                seen.add(contents)
+                inner = _inflate(contents, limits.inflated)
+            if inner is not None:
+                yield from large(contents, *places(x, y), kind)
+            else:
+                text_, kind = (_readable(contents, limits), kind)
+                if text_ is None:
+                    text_, kind = "\n".join(t for _, t in _wide_runs(contents, 0, len(contents))), (*kind, "utf16")
+                if not text_:
+                    continue
+                a, b = places(x, y)
+                yield from of(kind, text_, np.full(len(text_), a), np.full(len(text_), b), np.zeros(0, np.int64))
+            yield done, x
+            done = y
+        yield done, len(data)
 
     if "%" in text:
         for decoded, starts, ends in _escaped(text, _PERCENT, lambda m: unquote_to_bytes(m).decode("utf-8", "replace")):
             yield from of(("url",), decoded, starts, ends)
+    for pattern, decode, kind in ((_PERCENT, unquote_to_bytes, "url"), (_BYTES, lambda m: bytes.fromhex(m.replace("\\x", "")), "unicode")):
+        if "%" in text and kind == "url" or "\\x" in text and kind == "unicode":
+            if (raw := _raw(text, pattern, decode)) is not None:
+                data, starts, ends = raw
+                for found in packed(data, lambda x, y, starts=starts, ends=ends: (starts[x], ends[y - 1]), (kind,)):
+                    if isinstance(found, Layer):
+                        yield found
     if "\\" in text or "&#" in text:
         for decoded, starts, ends in _escaped(text, _ESCAPE, _unescape):
             yield from of(("unicode",), decoded, starts, ends)
@@ -282,40 +363,15 @@ def _unwrapped(layer: Layer, run: re.Pattern, stretch: re.Pattern, limits: Limit
         breaks = np.union1d(breaks, marks)
         for k in range(4):
             data = data if k == 0 else _decoded(letters[k:])
-            view, plain, done = memoryview(data), [], 0
-            for m in _MAGIC.finditer(data):
-                if m.start() < done or (inner := _inflate(view[m.start() :], limits.inflated)) is None:
-                    continue
-                x, y = m.start(), m.start() + inner[2]
-                kind: tuple[str, ...] = ("base64",)
-                contents, seen = data, {data}
-                if inner[1] is None:
-                    yield from large(view[x:], at[k + x * 4 // 3], at[-1] + 1)
-                    done = len(data)
-                    break
-                while inner is not None:
-                    kind, contents = (*kind, inner[0]), inner[1]
-                    if contents in seen:
-                        contents = b""
-                    seen.add(contents)
-                    packed, inner = contents, _inflate(contents, limits.inflated)
-                    if inner is not None and inner[1] is None:
-                        break
-                if inner is not None:
-                    for part in large(packed, at[k + x * 4 // 3], at[min(k - (-y * 4 // 3), len(at)) - 1] + 1, kind):
-                        yield part
-                    plain.append((done, x))
-                    done = y
-                    continue
-                if (decoded := _readable(contents, limits)) is None:
+            places = lambda x, y, k=k: (at[k + x * 4 // 3], at[min(k - (-y * 4 // 3), len(at)) - 1] + 1)
+            for found in packed(data, places, ("base64",)):
+                if isinstance(found, Layer):
+                    yield found
                     continue
-                plain.append((done, x))
-                done = y
-                a, b = at[k + x * 4 // 3], at[min(k - (-y * 4 // 3), len(at)) - 1] + 1
-                yield from of(kind, decoded, np.full(len(decoded), a), np.full(len(decoded), b), np.zeros(0, np.int64))
-            for x, y in [*plain, (done, len(data))]:
-                for m in stretch.finditer(data, x, y):
+                for m in stretch.finditer(data, *found):
                     yield from base64_text(m.group().decode(), m.start(), at[k:], breaks - k)
+                for start, wide in _wide_runs(data, *found):
+                    yield from base64_text(wide, start, at[k:], breaks - k, 2)
 
 
 def _matches(pattern: re.Pattern, layer: Layer) -> list[tuple[str, int, int]]:
@@ -352,6 +408,10 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[dict]:
         work = deque([first])
         while work:
             layer = work.popleft()
+            if layer.unscanned:
+                a, b = layer.span(0, 1)
+                found.setdefault(("unscanned", a, ""), {"rule": "unscanned", "start": a, "end": b, "depth": len(layer.path), "path": ">".join(layer.path), "fingerprint": ""})
+                continue
             low = layer.text.lower()
             for rule, pattern, anchors in RULES:
                 if not any(x in low for x in anchors):
@@ -377,7 +437,8 @@ _TYPE = pa.list_(pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end"
 def scan_text(docs: DataFrame, limits: Limits = Limits(), text: str = "text"):
     """Column expression over docs: array of structs rule, start, end (code points of the text), depth, path (the encodings from the outside in), fingerprint.
 
-    Null and empty texts have none; equal texts have equal findings. The secret itself is not in the result:
+    Null and empty texts have none; equal texts have equal findings. Contents that are too long to hold (limits.inflated) and
+    aren't text are not gone into: a row of the rule "unscanned" says where they are. The secret itself is not in the result:
     fingerprint is the start of its SHA-256."""
 
     @arrow_udf(FINDINGS)
