@@ -85,7 +85,8 @@ def format_chats(turns: DataFrame, template: Template = Template(), key: str = "
 
     Turns are in order of turn, then role and text, nulls first, so that ties are in the same order each time; repeated turns
     stay. A null role is "unknown", a null text is empty, and its turn stays. Turns without a conversation make up one of
-    their own, with a null conv_id."""
+    their own, with a null conv_id. The texts of one Arrow batch make up less than 2 GB: lower
+    spark.sql.execution.arrow.maxRecordsPerBatch for very long conversations."""
     t = turns.select(turns[key].alias("conv_id"), F.struct(turns[turn].alias("turn"), turns[role].cast("string").alias("role"), turns[text].cast("string").alias("text")).alias("t"))
 
     @arrow_udf(SCHEMA)
@@ -98,15 +99,24 @@ def format_chats(turns: DataFrame, template: Template = Template(), key: str = "
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as one text."""
-    return format_chats(table(spark, sf_dir, "conversations")).drop("reply_starts", "reply_ends")
+    """Every conversation as one text; the places of its replies are written as lists with commas, which SQL has too."""
+    places = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    f = format_chats(table(spark, sf_dir, "conversations"))
+    return f.select("conv_id", "n_turns", "text", "n_bytes", "reply_bytes", places("reply_starts"), places("reply_ends"))
 
 
 SQL = """
-SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
-       string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
-                  ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
-       CAST(sum(strlen('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10))) AS BIGINT) AS n_bytes,
-       CAST(sum(CASE WHEN role = 'assistant' THEN strlen(coalesce(text, '')) ELSE 0 END) AS BIGINT) AS reply_bytes
-FROM conversations GROUP BY conv_id
+WITH turns AS (
+  SELECT conv_id, role, '<|im_start|>' || coalesce(role, 'unknown') || chr(10) AS head, coalesce(text, '') AS body, '<|im_end|>' || chr(10) AS foot,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations),
+placed AS (
+  SELECT *, coalesce(sum(strlen(head || body || foot)) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + strlen(head) AS place
+  FROM turns)
+SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || foot, '' ORDER BY k) AS text,
+       CAST(sum(strlen(head || body || foot)) AS BIGINT) AS n_bytes,
+       CAST(sum(CASE WHEN role = 'assistant' THEN strlen(body) ELSE 0 END) AS BIGINT) AS reply_bytes,
+       coalesce(string_agg(CASE WHEN role = 'assistant' THEN CAST(CAST(place AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS reply_starts,
+       coalesce(string_agg(CASE WHEN role = 'assistant' THEN CAST(CAST(place + strlen(body) AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS reply_ends
+FROM placed GROUP BY conv_id
 """
