@@ -228,3 +228,54 @@ def test_streams(spark, folder, tmp_path_factory):
     assert spark.read.parquet(str(out / "t2")).count() == 2
     with pytest.raises(InvalidInputError):
         stream_chunks(rows, max_sentences=1, on_errors="break")
+
+
+def test_charsets():
+    from textloom.sources.readers import decoded
+
+    texts = {
+        "cp1252": "Die Straße führt über die Brücke, und später wird es schön: déjà vu, señor.",
+        "cp1251": "Это предложение написано по-русски, и в нём нет ничего особенного.",
+        "koi8_r": "Это предложение написано по-русски, и в нём нет ничего особенного.",
+        "cp1253": "Αυτή η πρόταση είναι γραμμένη στα ελληνικά και δεν λέει τίποτα.",
+        "shift_jis": "これは日本語の文です。あまり意味はありませんが、読むことができます。",
+        "gb18030": "这是一个中文的句子，我们不知道他在说什么，但是可以读。",
+        "euc_kr": "이것은 한국어로 쓰인 문장이고 아무 의미가 없다.",
+    }
+    for name, text in texts.items():
+        assert decoded(text.encode(name)) == text, name
+    assert decoded("naïve “quotes” – dash".encode("cp1252")) == "naïve “quotes” – dash"
+
+
+def test_entities_are_refused_wherever_they_stand():
+    import io
+    import zipfile
+
+    import pytest
+
+    from textloom.errors import FileProcessingError
+    from textloom.sources.archives import Archive
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("far.xml", "<?xml version='1.0'?><!--" + "x" * 10_000 + '--><!DOCTYPE a [<!ENTITY b "c">]><a>&b;</a>')
+        z.writestr("plain.xml", "<a>the word &lt;!ENTITY is text here</a>")
+        z.writestr("bad.xml", "<a>")
+    a = Archive(out.getvalue())
+    with pytest.raises(FileProcessingError, match="declares"):
+        a.xml("far.xml")
+    with pytest.raises(FileProcessingError, match="isn't XML"):
+        a.xml("bad.xml")
+    assert "ENTITY" in a.xml("plain.xml").text
+
+
+def test_encrypted_pdf_and_nested_latex():
+    import pytest
+
+    from textloom.errors import FileProcessingError
+    from textloom.sources.markup import latex_text
+    from textloom.sources.pdf import pdf
+
+    with pytest.raises(FileProcessingError, match="encrypted"):
+        pdf(b"%PDF-1.4\n1 0 obj << >> endobj\ntrailer << /Encrypt 9 0 R >>\nstartxref\n5\n%%EOF" + b" " * 5000)
+    assert latex_text(r"a \textbf{b \emph{c \textit{d \underline{e \textsc{f \texttt{g}}}}}} h") == "a b c d e f g h"

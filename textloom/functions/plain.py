@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 from .terminators import TERMINATORS
 
 _TERMS = frozenset(TERMINATORS)
+_SPACE = re.compile(r"\s*")
 _GAP = re.compile("\n\n\n+")
 _OPEN = "«‘‛“‟‹⸂⸄⸉⸌⸜⸠'\""
 _MOVED = {c: chr(0xF100 + k) for k, c in enumerate(TERMINATORS + ":\n\r\x0b\f\x1c\x1d\x1e\x85   \t")}
@@ -25,13 +27,25 @@ def few_breaks(text: str) -> str:
 
 
 def _protected(text: str) -> str:
+    places: dict[str, list[int]] = {"Pe": [], "Pf": []}
+    for k, c in enumerate(text):
+        if c in _OPEN:
+            places.setdefault(c, []).append(k)
+        if (kind := unicodedata.category(c)) in places:
+            places[kind].append(k)
+
+    def closing(kinds: tuple[str, ...], k: int) -> int:
+        """The first of what closes, from place k on, or -1."""
+        found = [p[i] for p in (places.get(x, []) for x in kinds) if (i := bisect_left(p, k)) < len(p)]
+        return min(found, default=-1)
+
     out, k = [], 0
     while k < len(text):
         c, end = text[k], -1
         if c in _OPEN:
-            end = next((j for j in range(k + 2, len(text)) if text[j] == c or unicodedata.category(text[j]) == "Pf"), -1)
+            end = closing((c, "Pf"), k + 2)
         elif unicodedata.category(c) == "Ps":
-            end = next((j for j in range(k + 2, len(text)) if unicodedata.category(text[j]) == "Pe"), -1)
+            end = closing(("Pe",), k + 2)
         if end < 0:
             out.append(c)
             k += 1
@@ -45,9 +59,8 @@ def _ends(text: str, k: int) -> bool:
     """Whether a sentence ends before place k."""
     if k == 0 or text[k - 1] not in _TERMS:
         return False
-    rest = text[k : k + 200].lstrip()
-    gap = text[k : k + 200][: len(text[k : k + 200]) - len(rest)]
-    if not (not rest or "\n" in gap or gap and (rest[0].isupper() or unicodedata.category(rest[0]) in ("Lo", "Lt"))):
+    at = _SPACE.match(text, k).end()
+    if not (at == len(text) or "\n" in text[k:at] or at > k and (text[at].isupper() or unicodedata.category(text[at]) in ("Lo", "Lt"))):
         return False
     m = _SHORT.search(text[max(0, k - 7) : k])
     return not (m and m[1][0].isupper() and m[1][1:].islower())

@@ -148,19 +148,27 @@ def chunk_code(
     docstring_mode: str = "all",
     token_counter: Callable[[str], int] | None = None,
     on_errors: str = "raise",
+    key: str | None = None,
 ) -> DataFrame:
     """A row per chunk: df's columns without the code, chunk_num (from 1), content, tree, relations, start_line, end_line, span.
 
     path: the column of files' paths, by which Python is known. A block over the limits is an error if strict, and cut
-    between lines otherwise. on_errors: "raise" lets the job fail, "skip" gives a row with error for each text that failed.
-    Blank and null code has no chunks."""
+    between lines otherwise. on_errors: "raise" lets the job fail, "skip" gives a row with error for each text that failed,
+    "break" keeps the texts whose key (the path, if no other column is named) is less than the first that failed. Blank and null code has no chunks."""
     limits = CodeLimits(max_tokens, max_lines, max_functions, strict, include_comments, docstring_mode)
     check_code_limits(limits, token_counter)
-    if on_errors not in ("raise", "skip"):
-        raise InvalidInputError(f"on_errors is raise or skip, not {on_errors!r}")
+    if on_errors not in ("raise", "skip", "break"):
+        raise InvalidInputError(f"on_errors is raise, skip or break, not {on_errors!r}")
+    order = key or path
+    if on_errors == "break" and order is None:
+        raise InvalidInputError('on_errors="break" needs a key, which says what comes before what')
     rest = [c for c in df.columns if c != code]
-    made = df.select(*rest, F.posexplode(code_chunk_column(F.col(code), F.col(path) if path else F.lit(None).cast("string"), limits, token_counter, on_errors == "skip")).alias("chunk_num", "c"))
+    made = df.select(*rest, F.posexplode(code_chunk_column(F.col(code), F.col(path) if path else F.lit(None).cast("string"), limits, token_counter, on_errors != "raise")).alias("chunk_num", "c"))
     out = made.select(*rest, (F.col("chunk_num") + 1).alias("chunk_num"), "c.content", "c.tree", "c.relations", "c.start_line", "c.end_line", F.struct("c.start", "c.end").alias("span"), "c.error")
+    if on_errors == "break":
+        # one row
+        first = out.where("error is not null").agg(F.min(order).alias("tl_first"))
+        return out.crossJoin(F.broadcast(first)).where(F.col("tl_first").isNull() | (F.col(order) < F.col("tl_first"))).drop("tl_first", "error")
     return out.drop("error") if on_errors == "raise" else out
 
 

@@ -115,11 +115,12 @@ def span_exact(spark, sf_dir):
     return d.select("doc_id", (F.col("p") + 1).alias("sent_num"), at.alias("span_start"), F.when(at >= 0, at + F.length("sentence")).otherwise(-1).alias("span_end"))
 
 
-@query("SELECT doc_id, CASE WHEN confidence >= 0.7 THEN lang ELSE 'fallback' END AS route FROM (SELECT doc_id, lang, n_chars / (n_chars + 400.0) AS confidence FROM documents)")
+@query(f"SELECT doc_id, code, CASE WHEN confidence >= 0.7 THEN code ELSE 'fallback' END AS route FROM ({Q.detected('text')})")
 def lang_route(spark, sf_dir):
-    from ..operators.detect import route
+    from ..operators.detect import detect, route
 
-    return docs(spark, sf_dir).select("doc_id", route(F.col("lang"), F.col("n_chars") / (F.col("n_chars") + 400.0)).alias("route"))
+    found = docs(spark, sf_dir).select("doc_id", detect(F.col("text")).alias("d"))
+    return found.select("doc_id", F.col("d.code").alias("code"), route(F.col("d.code"), F.col("d.confidence")).alias("route"))
 
 
 #: Sentences cut at every comma and dash, so that there is something to clean.
@@ -145,9 +146,14 @@ def newline_collapse(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.collapse_newlines(F.expr("replace(text, '. ', concat('.', repeat('\\n', cast(n_chars % 5 AS int))))")).alias("text"))
 
 
-@query("SELECT page_id, regexp_replace('[' || page_id || '](' || url || '/' || substr(html, 1, CAST(page_id % 300 AS INTEGER)) || ') ![x](' || url || ')', " + Q.lit(T.long_link(150)) + r", '\1(\2...)', 'g') AS link FROM pages")
+#: Every address of a page made a Markdown link, to itself three times over, so that there are long ones.
+_HREF, _LINK = r'(?:href|src)="([^"\n]*)"', r"[link](\1?\1?\1)"
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_replace(html, {Q.lit(_HREF)}, {Q.lit(_LINK)}, 'g'), {Q.lit(T.long_link(60))}, {Q.lit(chr(92) + '1(' + chr(92) + '2...)')}, 'g') AS page FROM pages")
 def url_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(F.expr("concat('[', page_id, '](', url, '/', substr(html, 1, cast(page_id % 300 AS int)), ') ![x](', url, ')')")).alias("link"))
+    linked = F.regexp_replace("html", F.lit(_HREF), F.lit(_LINK.replace("\\", "$")))
+    return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(linked, 60).alias("page"))
 
 
 @query("SELECT n_regionkey, chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS md FROM nation GROUP BY n_regionkey")
@@ -316,6 +322,21 @@ def code_chunks(spark, sf_dir):
     return chunk_code(_code(spark, sf_dir), max_functions=1).select("p_brand", "chunk_num", "content", "tree", "start_line", "end_line")
 
 
+@query(
+    """WITH lines AS (SELECT p_brand, 0 AS k, 'def all_parts(self):' AS line FROM part GROUP BY p_brand
+  UNION ALL SELECT p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER), '    size_' || p_partkey || ' = ' || p_size FROM part)
+SELECT p_brand, CAST(k // 8 + 1 AS INTEGER) AS chunk_num, string_agg(line, chr(10) ORDER BY k) AS content, CAST(min(k) + 1 AS INTEGER) AS start_line, CAST(max(k) + 1 AS INTEGER) AS end_line FROM lines GROUP BY p_brand, k // 8"""
+)
+def line_pack(spark, sf_dir):
+    """One function of many lines for each brand, too long for any chunk, cut between lines."""
+    from ..operators.code import chunk_code
+
+    line = F.concat(F.lit("    size_"), F.col("p_partkey"), F.lit(" = "), F.col("p_size"))
+    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("x")))).alias("xs"))
+    code = g.select("p_brand", F.concat(F.lit("def all_parts(self):\n"), F.array_join("xs.x", "\n")).alias("code"))
+    return chunk_code(code, max_lines=8, strict=False).select("p_brand", "chunk_num", "content", "start_line", "end_line")
+
+
 @query("SELECT p_brand, CAST(count(*) AS INTEGER) AS functions FROM part GROUP BY p_brand")
 def func_decl_count(spark, sf_dir):
     from ..operators.code import declarations

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..functions.terminators import CLAUSE_MARKS, TERMINATORS
+from ..operators.detect import COMMON, SCRIPTS
 
 _ESCAPES = {r"\x0b": r"\x0B", r"\x1c-\x1f": r"\x1C-\x1F", r"\x85": r"\x{85}"}
 WS = r"\s\x0B\x1C-\x1F\x{85}" + T.WS.split(r"\x85")[1]
@@ -73,5 +74,14 @@ def word_tokens(s: str) -> str:
     return f"CASE WHEN regexp_matches({s}, {lit('[^' + WS + ']')}) THEN len(regexp_split_to_array({strip(s)}, {lit('[' + WS + ']+')})) ELSE 0 END"
 
 
+def detected(text: str) -> str:
+    """doc_id, code, confidence of the documents' texts."""
+    words = f"string_split(trim(lower(regexp_replace({text}, {lit('[^' + chr(92) + 'p{L}]+')}, ' ', 'g'))), ' ')"
+    scores = [f"{{'s': CAST(len(list_filter(words, lambda w: w IN ({', '.join(lit(w) for w in common.split())}))) AS DOUBLE), 'k': {lit(k)}}}" for k, common in COMMON.items()]
+    scores += [f"{{'s': len(regexp_extract_all(letters, {lit(p)})) / {20.0 if k == 'zh' else 2.0}, 'k': {lit(k)}}}" for k, p in SCRIPTS.items()]
+    return f"""SELECT doc_id, CASE WHEN total = 0 THEN 'und' ELSE best.k END AS code, CASE WHEN total = 0 THEN 0 ELSE best.s * best.s / total END AS confidence
+FROM (SELECT doc_id, list_max(every) AS best, list_sum([x.s * x.s FOR x IN every]) AS total FROM (SELECT doc_id, [{', '.join(scores)}] AS every FROM (SELECT doc_id, {words} AS words, lower({text}) AS letters FROM documents)))"""
+
+
 SENTENCE_TABLE = f"""docs AS (SELECT doc_id, lang, text, {sentences('text')} AS s FROM documents),
 sents AS (SELECT doc_id, lang, text, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) AS INTEGER) AS sent_num FROM docs)"""

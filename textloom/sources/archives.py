@@ -9,13 +9,14 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 from ..errors import FileProcessingError
 from ..operators.packing import packed_paragraphs
 from ..operators.tables import table_text
 from .html import to_markdown
 
-#: Bytes of one member that are read at most; more is taken for an attack.
+#: A member of more bytes is an error: it is taken for an attack.
 LARGEST_MEMBER = 1 << 30
 
 
@@ -27,6 +28,27 @@ def _attr(e: ET.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
 
 
+class _Root(Exception):
+    """The root element begins: nothing is declared any more."""
+
+
+def _refuse_entities(raw: bytes, name: str) -> None:
+    """An error if a document declares entities; they stand before its root, wherever that is."""
+
+    def declared(*_) -> None:
+        raise FileProcessingError(f"{name} declares entities")
+
+    def root(*_) -> None:
+        raise _Root
+
+    parser = expat.ParserCreate()
+    parser.EntityDeclHandler, parser.StartElementHandler = declared, root
+    try:
+        parser.Parse(raw, True)
+    except _Root:
+        pass
+
+
 class Archive:
     def __init__(self, content: bytes):
         try:
@@ -44,11 +66,10 @@ class Archive:
 
     def xml(self, name: str) -> ET.Element:
         raw = self.read(name)
-        if b"<!ENTITY" in raw[:4096]:
-            raise FileProcessingError(f"{name} declares entities")
         try:
+            _refuse_entities(raw, name)
             return ET.fromstring(raw)
-        except ET.ParseError as e:
+        except (ET.ParseError, expat.ExpatError) as e:
             raise FileProcessingError(f"{name} isn't XML: {e}") from e
 
     def related(self, part: str) -> dict[str, str]:

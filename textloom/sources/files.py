@@ -11,6 +11,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from ..errors import InvalidInputError
 from ..operators.code import chunk_code
@@ -80,10 +82,14 @@ def chunk_files(spark: SparkSession, *paths: str, on_errors: str = "raise", **li
     return kept.unionByName(failed, allowMissingColumns=True)
 
 
+@arrow_udf(StringType())
+def _decoded(paths: pa.Array, contents: pa.Array) -> pa.Array:
+    return pa.array([R.decoded(c.as_py() or b"", p.as_py()) for p, c in zip(paths, contents, strict=True)], pa.string())
+
+
 def chunk_code_files(spark: SparkSession, *paths: str, **limits: Any) -> DataFrame:
     """Chunks of source files with their path as source; chunk_code's arguments are taken."""
-    text = F.udf(lambda p, c: R.decoded(bytes(c), p), "string")
-    code = scan_files(spark, *paths).select(F.col("path").alias("source"), text("path", "content").alias("code"))
+    code = scan_files(spark, *paths).select(F.col("path").alias("source"), _decoded.asNondeterministic()("path", "content").alias("code"))
     return chunk_code(code, path="source", **limits)
 
 

@@ -23,8 +23,10 @@ def latex_text(source: str) -> str:
     t = re.sub(r"\\(?:begin|end)\{\w+\*?\}(?:\[[^\]]*\])?(?:\{[^}]*\})?", "\n", t)
     t = re.sub(rf"\\(?:label|ref|cite\w*|pageref|includegraphics|usepackage|documentclass|bibliography\w*|vspace|hspace)\*?(?:\[[^\]]*\])?{_ARGUMENT}", "", t)
     t = re.sub(r"\\([A-Za-z]+)(?![A-Za-z{])[ \t]?", lambda m: _SYMBOLS.get(m[1], ""), t)
-    for _ in range(4):
-        t = re.sub(rf"\\[A-Za-z]+\*?(?:\[[^\]]*\])?{_ARGUMENT}", r"\1", t)
+    # commands in commands, from the inside out
+    n = 1
+    while n:
+        t, n = re.subn(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1", t)
     t = re.sub(r"\\\\(?:\[[^\]]*\])?", "\n", t)
     t = re.sub(r"\\([#$%&_{}])", r"\1", t).replace("~", " ").replace("``", "“").replace("''", "”")
     t = re.sub(r"(?<!\\)[{}]", "", t)

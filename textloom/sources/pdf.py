@@ -12,6 +12,8 @@ import zlib
 from ..errors import FileProcessingError
 from .markup import paper_text
 
+#: A stream that inflates to more bytes is an error.
+LARGEST_STREAM = 1 << 28
 _OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+.\d]+|[A-Za-z'\"*]+\d?", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -26,9 +28,12 @@ def _stream(body: bytes) -> bytes:
     if b"FlateDecode" in body[: m.start()]:
         out = zlib.decompressobj()
         try:
-            return out.decompress(raw, 1 << 28)
+            data = out.decompress(raw, LARGEST_STREAM)
         except zlib.error:
             return b""
+        if out.unconsumed_tail:
+            raise FileProcessingError(f"A stream of the PDF file has more than {LARGEST_STREAM} bytes")
+        return data
     return raw
 
 
@@ -55,7 +60,10 @@ def _table(cmap: bytes) -> dict[bytes, str]:
     for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
         for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
             first = int(c, 16)
-            for k in range(min(int(b, 16) - int(a, 16) + 1, 1 << 16)):
+            many = int(b, 16) - int(a, 16) + 1
+            if many > 0x110000:
+                raise FileProcessingError("A code range of the PDF file is longer than Unicode")
+            for k in range(many):
                 out[(int(a, 16) + k).to_bytes(len(a) // 2, "big")] = text(f"{first + k:0{len(c)}x}".encode())
     return out
 
@@ -143,9 +151,12 @@ def pdf(content: bytes) -> tuple[list[str], dict[str, str]]:
     """A section for each page, cleaned up; page_count and what the file says of itself."""
     if not content.lstrip()[:5].startswith(b"%PDF"):
         raise FileProcessingError("Not a PDF file")
-    if b"/Encrypt" in content[-4096:]:
-        raise FileProcessingError("The PDF file is encrypted")
     file = _File(content)
+    # in a trailer, or in the dictionary of a stream that stands for it
+    trailers = re.findall(rb"\btrailer\b(.*?)(?:startxref|\Z)", content, re.S)
+    trailers += [head for body in file.objects.values() if re.search(rb"/Type\s*/XRef\b", head := body.split(b"stream", 1)[0])]
+    if any(b"/Encrypt" in t for t in trailers):
+        raise FileProcessingError("The PDF file is encrypted")
     pages = file.pages()
     meta = {"page_count": str(len(pages))}
     if m := re.search(rb"/Info\s+(\d+)\s+\d+\s+R", content):

@@ -36,15 +36,59 @@ def is_binary(content: bytes, path: str = "") -> bool:
     return b"\0" in content[:1024]
 
 
+#: Encodings of text that isn't UTF-8, with the letters that are commonest in what is written in them.
+_CHARSETS = (
+    ("cp1252", "etaonisrhdlucmäöüßéèàçñóíêôâùåøæïëîûìòúáõãœ"),
+    ("cp1250", "aeionzrswcytkdpmluąęłśżźćńóěščřžýáíéůďťňőű"),
+    ("cp1251", "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ"),
+    ("koi8_r", "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ"),
+    ("cp1253", "αοιετσνηυρπκμλςόάίέήώύγδθχφβξζψ"),
+    ("cp1255", "יוהלארמבתשנעדקפחצגטזסכןםךףץ"),
+    ("cp1256", "ايلمونرتبدهعسكفقحجةشأصخطضذزثغ"),
+    ("shift_jis", "のにはをたがでとしるいれさんなかもくすあ、。"),
+    ("euc_jp", "のにはをたがでとしるいれさんなかもくすあ、。"),
+    ("gb18030", "的一是不了在人有我他这中大来上国们到说，。"),
+    ("big5", "的一是不了在人有我他這中大來上國們到說，。"),
+    ("euc_kr", "이다는을의에가고하지한로은를기어사도리"),
+)
+#: Bytes by which an encoding is told.
+_TOLD_BY = 1 << 16
+
+
+def charset(content: bytes) -> str:
+    """The encoding of text that isn't UTF-8: the one in which most of what isn't ASCII is made of the commonest letters of its languages, among those that can be decoded."""
+    part = content[:_TOLD_BY]
+    best, most = "cp1252", 0.0
+    for name, common in _CHARSETS:
+        # the part may end within a character
+        text = next((t for cut in (0, 1, 2, 3) if (t := _strict(part[: len(part) - cut], name)) is not None), None)
+        if text is None:
+            continue
+        far = [c for c in text if c > "\x7f"]
+        # capitals inside words and signs are what a wrong encoding gives
+        odd = sum(not c.isalpha() and c not in "«»„“”’–—…。、，" for c in far) + sum(a.islower() and b.isupper() for a, b in zip(text, text[1:], strict=False))
+        score = (sum(c.lower() in common for c in far) - odd) / max(1, len(far)) + (0.02 if name == "cp1252" else 0.0)
+        if score > most:
+            best, most = name, score
+    return best
+
+
+def _strict(content: bytes, encoding: str) -> str | None:
+    try:
+        return content.decode(encoding)
+    except UnicodeDecodeError:
+        return None
+
+
 def decoded(content: bytes, path: str = "") -> str:
-    """Text of a file: by its byte-order mark, as UTF-8, else by the Windows code page; line ends made one character."""
+    """Text of a file: by its byte-order mark, as UTF-8, else in the encoding that its letters speak for; line ends made one character."""
     if is_binary(content, path):
         raise FileProcessingError(f"{path or 'The content'} is binary")
     encoding = next((e for m, e in _MARKS if content.startswith(m)), "utf-8")
     try:
         text = content.decode(encoding)
     except UnicodeDecodeError:
-        text = content.decode("cp1252", "replace")
+        text = content.decode(charset(content), "replace")
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
