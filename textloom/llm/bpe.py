@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
 
 from . import kernels as K
-from .common import list_array, ranges, table
+from .common import dealt_table, list_array, ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "tokens array<int>, n_tokens int, round_trip boolean"
@@ -241,7 +241,7 @@ def decode_tokens(df: DataFrame, path: str = VOCABULARY, tokens: str = "tokens")
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether they decode to its very text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return docs.select("doc_id", encode_text(docs).alias("v")).select("doc_id", "v.*")
 
 

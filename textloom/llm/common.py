@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
 from .kernels import mix as mixed
 
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table each row of which is work, spread over the cores if its files' layout would give it to a few."""
+    return dealt(table(spark, sf_dir, name))
+
+
 def texts_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and text alone, under names of our own; whatever other columns docs has stay out of the way. Rows without a key are left out."""
     return docs.select(docs[key].cast("long").alias("tl_doc"), docs[text].cast("string").alias("tl_text")).where("tl_doc is not null")
@@ -50,11 +56,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of its own in the shared checkpoint folder; it stays there as long as the folder does."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """(df as a Parquet table of its own in the shared checkpoint folder, the table's path); it stays there until it is dropped."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shipped(spark: SparkSession, value: object):

@@ -28,7 +28,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from . import kernels as K
-from .common import cut, durable, joined, shipped, table, texts_of
+from .common import cut, dealt_table, durable, joined, shipped, table, texts_of
 
 SPAN = "start int, end int, n_words int, coverage float, items array<long>"
 FOUND = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in SPAN.split(', '))}>>"
@@ -367,7 +367,7 @@ def contaminated(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), k
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the spans to remove."""
-    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(dealt_table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.size("spans").alias("n_spans"), F.array_max("spans.n_words").alias("longest"), F.array_max("spans.coverage").alias("coverage"), F.array_sort(F.array_distinct(F.flatten("spans.items"))).alias("item_ids"), "spans")
 
 

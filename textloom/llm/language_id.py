@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import kernels as K
-from .common import shipped, table
+from .common import dealt_table, shipped
 
 SCHEMA = "lang string, cosine float, margin float, n_grams int, keep boolean"
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and verdict of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return docs.select("doc_id", identify(docs).alias("v")).select("doc_id", "v.*")
 
 

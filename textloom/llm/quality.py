@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-from .common import table
+from .common import dealt_table
 
 SCHEMA = "n_bytes long, ratio double, n_chunks int, repetitive_chunks int, random_chunks int, reason string, keep boolean"
 
@@ -97,5 +97,5 @@ def compression_bands(docs: DataFrame, bands: Bands = Bands(), text: str = "text
 
 def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return docs.select("doc_id", compression_bands(docs).alias("v")).select("doc_id", "v.*")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import table
+from .common import dealt_table
 
 FINDINGS = "array<struct<rule:string,start:int,end:int,depth:int,path:string,fingerprint:string>>"
 
@@ -450,5 +450,5 @@ def scan_text(docs: DataFrame, limits: Limits = Limits(), text: str = "text"):
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(scan_text(docs)).alias("f")).select("doc_id", "f.*")
