@@ -150,10 +150,10 @@ def newline_collapse(spark, sf_dir):
 _HREF, _LINK = r'(?:href|src)="([^"\n]*)"', r"[link](\1?\1?\1)"
 
 
-@query(f"SELECT page_id, regexp_replace(regexp_replace(html, {Q.lit(_HREF)}, {Q.lit(_LINK)}, 'g'), {Q.lit(T.long_link(60))}, {Q.lit(chr(92) + '1(' + chr(92) + '2...)')}, 'g') AS page FROM pages")
+@query(f"SELECT page_id, regexp_replace(regexp_replace(html, {Q.lit(_HREF)}, {Q.lit(_LINK)}, 'g'), {Q.lit(T.long_link(20))}, {Q.lit(chr(92) + '1(' + chr(92) + '2...)')}, 'g') AS page FROM pages")
 def url_truncate(spark, sf_dir):
     linked = F.regexp_replace("html", F.lit(_HREF), F.lit(_LINK.replace("\\", "$")))
-    return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(linked, 60).alias("page"))
+    return table(spark, sf_dir, "pages").select("page_id", T.truncate_urls(linked, 20).alias("page"))
 
 
 @query("SELECT n_regionkey, chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS md FROM nation GROUP BY n_regionkey")
