@@ -152,9 +152,14 @@ def test_long_text():
 
 def test_stage(spark, tmp_path):
     item = " ".join(f"w{k}" for k in range(20))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, item), (2, "other words")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = [(1, f"before {item.upper()} after", 0), (2, item, 0), (3, None, None), (4, "clean text", 10), (None, item, 5)]
     df = spark.createDataFrame([(*d, "q") for d in docs], "doc_id long, text string, n_chars long, spans string")
-    out = D.stage(spark, df, str(tmp_path))
-    assert out.columns == df.columns
+    for n in (10**6, 1):
+        out = D.stage(spark, df, str(tmp_path), D.Limits(shard_words=n))
+        assert out.columns == df.columns
+        check_stage(out, item)
+
+
+def check_stage(out, item):
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(1, "before  after", 13), (3, None, None), (4, "clean text", 10), (None, item, 5)}

@@ -316,6 +316,20 @@ def _spans_of(spark: SparkSession, text: Column, automaton: Automaton, limits: L
     return find.asNondeterministic()(text)
 
 
+def _cleaned_of(spark: SparkSession, text: Column, automaton: Automaton, limits: Limits) -> Column:
+    """struct changed, text: the text without its spans, null if it has none. It is found and cut in one go, by one Python worker."""
+    held = shipped(spark, automaton)
+
+    @arrow_udf("changed boolean, text string")
+    def clean(t: pa.Array) -> pa.Array:
+        found = spans(t, [held.value], limits)
+        some = [bool(x) for x in found]
+        left = cut(pa.array([x if f else None for x, f in zip(t.to_pylist(), some, strict=True)], pa.string()), pa.array(found, _SPANS))
+        return pa.StructArray.from_arrays([pa.array(some, pa.bool_()), left], ["changed", "text"])
+
+    return clean.asNondeterministic()(text)
+
+
 def _pieces_of(spark: SparkSession, text: Column, automaton: Automaton) -> Column:
     held = shipped(spark, automaton)
 
@@ -341,14 +355,15 @@ def _in_rounds(own: DataFrame, first: Automaton, second: Automaton, rest: Iterat
     return every.groupBy("tl_doc", "tl_mark").agg(F.flatten(F.collect_list("p")).alias("p")).select("tl_doc", "tl_mark", decide.asNondeterministic()("p").alias("tl_spans"))
 
 
-def with_spans(own: DataFrame, items: DataFrame, limits: Limits, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """own (which has tl_doc and tl_text) with tl_spans: what is to be removed, or null or none."""
+def _automata(items: DataFrame, limits: Limits, item_key: str, item_text: str) -> tuple[Automaton, Automaton | None, Iterator[Automaton]]:
+    """The first automaton, the second if there is more than one, and the rest."""
     shards = _shards(items.select(items[item_key].cast("long").alias("item_id"), items[item_text].cast("string").alias("text")), limits)
-    first = next(shards)
-    second = next(shards, None)
-    if second is None:
-        return own.withColumn("tl_spans", _spans_of(own.sparkSession, F.col("tl_text"), first, limits))
-    found = durable(_in_rounds(own.select("tl_doc", "tl_text"), first, second, shards, limits))
+    return next(shards), next(shards, None), shards
+
+
+def _joined_spans(own: DataFrame, automata: tuple[Automaton, Automaton, Iterator[Automaton]], limits: Limits) -> DataFrame:
+    """own (which has tl_doc and tl_text) with tl_spans, from several rounds."""
+    found = durable(_in_rounds(own.select("tl_doc", "tl_text"), *automata, limits))
     # rows without a key are told by a key of their own, as nulls don't join
     keyed = lambda df: df.withColumn("tl_key", F.struct(F.coalesce("tl_doc", F.lit(0)), F.col("tl_doc").isNull(), "tl_mark"))
     return joined(keyed(own.withColumn("tl_mark", F.xxhash64("tl_text"))), keyed(found).select("tl_key", "tl_spans"), "tl_key", "left").drop("tl_key", "tl_mark")
@@ -361,7 +376,9 @@ def contaminated(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), k
     fewer words than limits.shortest is found where it stands as a whole. A span's items are those that hold all of it, and those that share a
     part of it and of which the document covers enough; coverage is the greatest of their shares. Spans of a document may overlap, but none is
     inside another. Repeated rows give repeated rows, and items that are repeated are named as often. The number of automata doesn't change the result."""
-    found = with_spans(texts_of(docs, key, text), items, limits, item_key, item_text)
+    own = texts_of(docs, key, text)
+    automata = _automata(items, limits, item_key, item_text)
+    found = own.withColumn("tl_spans", _spans_of(docs.sparkSession, F.col("tl_text"), automata[0], limits)) if automata[1] is None else _joined_spans(own, automata, limits)
     return found.where(F.size("tl_spans") > 0).select(F.col("tl_doc").alias("doc_id"), F.col("tl_spans").alias("spans"))
 
 
@@ -376,17 +393,21 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return cut(texts, spans)
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, limits: Limits = Limits()) -> DataFrame:
     """The documents without those spans; one of which no letter or digit is left goes, others stay, also with null or empty text or without a key. n_chars, if there is such a column, follows the text."""
     names = docs.columns
     own = docs.select(*[docs[c].alias(f"tl_c{k}") for k, c in enumerate(names)], docs["doc_id"].cast("long").alias("tl_doc"), F.when(docs["doc_id"].isNotNull(), docs["text"]).alias("tl_text"))
     text = f"tl_c{names.index('text')}"
-    found = with_spans(own, table(spark, sf_dir, "benchmark"), Limits())
-    done = found.withColumn("tl_cut", _cut.asNondeterministic()(F.col(text), F.col("tl_spans")))
-    changed = F.coalesce(F.size("tl_spans") > 0, F.lit(False))
-    done = done.where(~changed | F.col("tl_cut").rlike(r"[\p{L}\p{N}]"))
-    new = {text: F.when(changed, F.col("tl_cut")).otherwise(F.col(text))}
+    automata = _automata(table(spark, sf_dir, "benchmark"), limits, "item_id", "text")
+    if automata[1] is None:
+        done = own.withColumn("tl_new", _cleaned_of(spark, F.col("tl_text"), automata[0], limits))
+    else:
+        found = _joined_spans(own, automata, limits)
+        done = found.withColumn("tl_new", F.struct(F.coalesce(F.size("tl_spans") > 0, F.lit(False)).alias("changed"), _cut.asNondeterministic()(F.col(text), F.col("tl_spans")).alias("text")))
+    changed, left = F.col("tl_new.changed"), F.col("tl_new.text")
+    done = done.where(~changed | left.rlike(r"[\p{L}\p{N}]"))
+    new = {text: F.when(changed, left).otherwise(F.col(text))}
     if "n_chars" in names:
         n_chars = f"tl_c{names.index('n_chars')}"
-        new[n_chars] = F.when(changed, F.length("tl_cut")).otherwise(F.col(n_chars))
+        new[n_chars] = F.when(changed, F.length(left)).otherwise(F.col(n_chars))
     return done.select(*[new.get(f"tl_c{k}", F.col(f"tl_c{k}")).alias(c) for k, c in enumerate(names)])
