@@ -81,3 +81,33 @@ def test_splitter_of_wrong_type_fails():
     for f in (lambda t: "text", lambda t: [1], lambda t: 1 / 0):
         with pytest.raises(CallbackError):
             call_splitter("f", f, "x")
+
+
+LANGUAGES = [
+    ("de", "Das gilt z. B. Hunden und Katzen, d.h. Tieren. Und so weiter.", ["Das gilt z. B. Hunden und Katzen, d.h. Tieren.", "Und so weiter."]),
+    ("en", "See fig. Two and vol. Three of it. Then stop.", ["See fig. Two and vol. Three of it.", "Then stop."]),
+    ("ru", "Это см. Рис на стр. Пятнадцать. Потом конец.", ["Это см. Рис на стр. Пятнадцать.", "Потом конец."]),
+    ("ja", "これは文。次の文。「彼は。言った」と。終わり", ["これは文。", "次の文。", "「彼は。言った」と。", "終わり"]),
+    ("zh", "这是一句。这是第二句！第三句", ["这是一句。", "这是第二句！", "第三句"]),
+    ("hi", "यह एक है।यह दो है। तीन", ["यह एक है।", "यह दो है।", "तीन"]),
+    ("xx", "Das gilt z. B. Hunden. Ende.", ["Das gilt z.", "B.", "Hunden.", "Ende."]),
+]
+
+
+@pytest.mark.parametrize("code, text, expected", LANGUAGES)
+def test_rules_of_languages(spark, code, text, expected):
+    assert one(spark, lambda t: S.sentence_column(t, code), text) == [expected]
+
+
+def test_rules_by_a_column_of_codes(spark):
+    df = spark.createDataFrame([(k, c, t) for k, (c, t, _) in enumerate(LANGUAGES)] + [(99, None, "One. Two.")], "k int, lang string, text string")
+    got = [r[0] for r in df.orderBy("k").select(S.sentence_column(F.col("text"), F.col("lang"))).collect()]
+    assert got == [e for *_, e in LANGUAGES] + [["One.", "Two."]]
+
+
+def test_plain_splitter_looks_as_far_as_it_has_to(spark):
+    from textloom.functions.plain import plain_sentences
+
+    texts = ["One." + " " * 250 + "two. Three.", "One." + " " * 300 + "Two.", "(" * 3000 + " a. B. c", "'x. Y' (z. Z) w. W"]
+    for t, got in zip(texts, one(spark, T.sentences, *texts), strict=True):
+        assert plain_sentences(t) == got

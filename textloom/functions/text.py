@@ -7,11 +7,12 @@ and back again afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .languages import ABBREVIATIONS, CLOSED_UP, abbreviation_pattern, closed_up_pattern
 from .terminators import CLAUSE_MARKS, TERMINATORS
 
 WS = r"\s\x0b\x1c-\x1f\x85   -     　"
@@ -79,14 +80,16 @@ def rstrip(c: Column) -> Column:
     return let(c, lambda t: F.when(F.right(t, F.lit(1)).rlike(f"[{WS}]"), _sub(t, f"[{WS}]+$", "")).otherwise(t))
 
 
+def _moved(t: Column, pattern: str | Column, inside: Column) -> Column:
+    """t with what is protected in the pattern's matches, which are given, moved out of the way."""
+    return F.array_join(F.zip_with(F.split(t, pattern, -1), inside, lambda a, b: F.concat(a, F.coalesce(F.translate(b, _SECRET_FROM, _SECRET_TO), F.lit("")))), "")
+
+
 def _protect(c: Column, pattern: str, sign: str) -> Column:
     """Terminators, colons and white space inside the pattern's matches, moved out of the way; sign: what a text with a match has, which is told sooner."""
 
-    def moved(t: Column, inside: Column) -> Column:
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), inside, lambda a, b: F.concat(a, F.coalesce(F.translate(b, _SECRET_FROM, _SECRET_TO), F.lit("")))), "")
-
     def tried(t: Column) -> Column:
-        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda inside: F.when(F.size(inside) == 0, t).otherwise(moved(t, inside)))
+        return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda inside: F.when(F.size(inside) == 0, t).otherwise(_moved(t, pattern, inside)))
 
     return let(c, lambda t: F.when(t.rlike(sign), tried(t)).otherwise(t))
 
@@ -95,10 +98,32 @@ def _reveal(c: Column) -> Column:
     return F.translate(c, _SECRET_TO, _SECRET_FROM)
 
 
-def _lines(text: Column) -> Column:
+def _by_language(code: str | Column, pattern: Callable[[str, str], str | None], codes: Iterable[str]) -> Column | None:
+    """The pattern for a code, as a column: null for languages that have none; None if the code is known to have none."""
+    if isinstance(code, str):
+        p = pattern(code, WS)
+        return None if p is None else F.lit(p)
+    out = F.lit(None).cast("string")
+    for k in codes:
+        out = F.when(code == k, F.lit(pattern(k, WS))).otherwise(out)
+    return out
+
+
+def _for_language(t: Column, code: str | Column) -> Column:
+    """A protected text with a language's abbreviations protected too, and with line breaks where its sentences end without white space."""
+    abbreviations = _by_language(code, abbreviation_pattern, ABBREVIATIONS)
+    if abbreviations is not None:
+        t = let(F.struct(t.alias("t"), abbreviations.alias("p")), lambda x: F.when(x["p"].isNull() | ~F.rlike(x["t"], x["p"]), x["t"]).otherwise(_moved(x["t"], x["p"], F.regexp_extract_all(x["t"], x["p"], F.lit(0)))))
+    closed = _by_language(code, closed_up_pattern, CLOSED_UP)
+    if closed is not None:
+        t = let(F.struct(t.alias("t"), closed.alias("p")), lambda x: F.when(x["p"].isNull(), x["t"]).otherwise(F.regexp_replace(x["t"], x["p"], F.lit("$1\n"))))
+    return t
+
+
+def _lines(text: Column, code: str | Column = "fallback") -> Column:
     """Sentences and lines as they are cut, blank ones among them."""
     flat = let(strip(text), lambda t: F.when(t.rlike(_NUMBERED), _sub(t, rf"({_COLON_CLASS})[{WS}]+(?:\p{{N}}\.)*(\p{{N}}\.)", "$1\n $2")).otherwise(t))
-    t = strip(_protect(_protect(flat, PROTECTED, _OPENING), LIST_MARKER, _NUMBERED))
+    t = strip(_for_language(_protect(_protect(flat, PROTECTED, _OPENING), LIST_MARKER, _NUMBERED), code))
     at = lambda t, pattern: F.split(_sub(t, pattern, f"$1{BOUNDARY}"), BOUNDARY, -1)
     cut = lambda t: F.when(t.rlike(_FAR_SIGNS[0]) & t.rlike(_FAR_SIGNS[1]), at(t, SENTENCE_END)).otherwise(at(t, _NEAR_SENTENCE_END))
     return let(t, lambda t: F.when(t.rlike(f"[{_SECRET_TO[0]}-{_SECRET_TO[-1]}]"), F.transform(cut(t), _reveal)).otherwise(cut(t)))
@@ -132,9 +157,9 @@ def clean_sentences(sentences: Column) -> Column:
     return let(F.filter(sentences, lambda s: s.rlike(f"[^{WS}]")), cleaned)
 
 
-def sentences(text: Column) -> Column:
-    """Cleaned sentences of a text by the universal splitter; an empty text has none."""
-    return F.when(text.rlike(f"[^{WS}]"), clean_sentences(_lines(text))).when(text.isNotNull(), F.array().cast("array<string>"))
+def sentences(text: Column, code: str | Column = "fallback") -> Column:
+    """Cleaned sentences of a text by the universal splitter, with what the language of the code needs besides; an empty text has none."""
+    return F.when(text.rlike(f"[^{WS}]"), clean_sentences(_lines(text, code))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def clauses(sentence: Column) -> Column:
