@@ -35,6 +35,8 @@ SPANS = "doc_id long, unit string, start int, end int, kept_doc_id long, kept_st
 class Settings:
     window: int = 50  # words of a stretch
     run: int = 25  # words of the runs by which stretches are found
+    #: Buckets over which the stretches of one run are spread: a passage that very many documents share has its run in as many different surroundings.
+    spread: int = 16
     #: Lines of fewer words aren't units: they are repeated by chance.
     min_words: int = 5
 
@@ -67,7 +69,7 @@ _LINE = np.uint64(0xA0761D6478BD642F)
 #: What `end` says of a run: that it is asked whether others have it, that it occurs twice in its block, and that this is known.
 _RUN, _RUN_TWICE, _RUN_KNOWN = -1, -2, -3
 #: Units that are compared on the map side, before they are shuffled.
-_HOLD = 1 << 20
+_HOLD = 1 << 19
 
 
 class _Held:
@@ -120,7 +122,7 @@ def _units(buckets: int, s: Settings):
             yield from out.add(bucket_of(K.mix(doc[at]), buckets), np.zeros(len(at)), np.zeros(len(at)), doc[at], start[at], how, doc[of[at]], kept)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = Scatter(buckets, _UNIT), _Held()
+        out, held = Scatter(buckets, _UNIT, 1 << 19), _Held()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             for a, b in K.slices(texts):
@@ -185,7 +187,7 @@ _STRETCH = ["u8", "u4", "i8", "i4", "i4", "i8", "i4"]
 
 
 def _stretches(buckets: int, s: Settings):
-    """Stretches whose least run occurs elsewhere; they go to the bucket of the run, so that neighbours stay together.
+    """Stretches whose least run occurs elsewhere; they go to one of the run's buckets, by what they hold, so that neighbours stay together and no passage is one bucket's work.
 
     Of equal stretches in a block only the first goes there. The others are decided: they are put together to spans, with the place of the first."""
 
@@ -195,7 +197,7 @@ def _stretches(buckets: int, s: Settings):
         at = order[of == np.arange(len(of))]
         # by place again: neighbours side by side compress well
         at = at[np.lexsort((start[at], doc[at]))]
-        yield from out.add(bucket_of(run[at], buckets), key[at], check[at], doc[at], start[at], end[at], np.zeros(len(at)), np.full(len(at), -1))
+        yield from out.add(bucket_of(K.mix(run[at] + key[at] % np.uint64(s.spread)), buckets), key[at], check[at], doc[at], start[at], end[at], np.zeros(len(at)), np.full(len(at), -1))
         at, to = order[later], order[of[later]]
         by = np.lexsort((start[at], doc[at]))
         at, to = at[by], to[by]
