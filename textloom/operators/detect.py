@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 COMMON = {
     "en": "the of and to in is that it for was on as with be by this are at from or an have not which",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden",
@@ -31,18 +33,23 @@ SCRIPTS = {
 
 def detect(text: Column) -> Column:
     """struct code, confidence; ('und', 0) for text that nothing is known of, null for null."""
-    words = F.split(F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), " ")
-    letters = F.lower(text)
 
-    def common(of: str) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*of.split()))).cast("double")
+    def scored(x: Column) -> Column:
+        words, letters, far = x["words"], x["letters"], x["far"]
+        common = lambda of: F.size(F.filter(words, lambda w: w.isin(*of.split()))).cast("double")
+        scores = [F.struct(common(c).alias("s"), F.lit(k).alias("k")) for k, c in COMMON.items()]
+        # letters of these scripts are far from Latin ones
+        count = lambda p: F.when(far, F.regexp_count(letters, F.lit(p))).otherwise(0)
+        return F.array(*scores, *[F.struct((count(p) / (20.0 if k == "zh" else 2.0)).cast("double").alias("s"), F.lit(k).alias("k")) for k, p in SCRIPTS.items()])
 
-    scores = [F.struct(common(c).alias("s"), F.lit(k).alias("k")) for k, c in COMMON.items()]
-    scores += [F.struct((F.regexp_count(letters, F.lit(p)) / (20.0 if k == "zh" else 2.0)).cast("double").alias("s"), F.lit(k).alias("k")) for k, p in SCRIPTS.items()]
-    every = F.array(*scores)
-    best = F.array_max(every)
-    total = F.aggregate(every, F.lit(0.0), lambda a, x: a + x["s"] * x["s"])
-    return F.when(text.isNotNull(), F.when(total == 0, F.struct(F.lit("und").alias("code"), F.lit(0.0).alias("confidence"))).otherwise(F.struct(best["k"].alias("code"), (best["s"] * best["s"] / total).alias("confidence"))))
+    def judged(every: Column) -> Column:
+        best = F.array_max(every)
+        total = F.aggregate(every, F.lit(0.0), lambda a, x: a + x["s"] * x["s"])
+        return F.when(total == 0, F.struct(F.lit("und").alias("code"), F.lit(0.0).alias("confidence"))).otherwise(F.struct(best["k"].alias("code"), (best["s"] * best["s"] / total).alias("confidence")))
+
+    words = F.split(F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " "))), " ")
+    given = F.struct(words.alias("words"), F.lower(text).alias("letters"), text.rlike(r"[^\x00-˿]").alias("far"))
+    return F.when(text.isNotNull(), let(let(given, scored), judged))
 
 
 def route(code: Column, confidence: Column | None = None, floor: float = 0.7) -> Column:

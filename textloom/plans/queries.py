@@ -337,6 +337,25 @@ def line_pack(spark, sf_dir):
     return chunk_code(code, max_lines=8, strict=False).select("p_brand", "chunk_num", "content", "start_line", "end_line")
 
 
+@query(
+    """WITH m AS (SELECT p_brand, p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_brand, k AS chunk_num,
+  CASE WHEN k = 1 THEN 'class ' || replace(p_brand, '#', '_') || ':' || chr(10) || '    ' || chr(10) ELSE '' END || '    @cached' || chr(10) || '    def part_' || p_partkey || '(self):' || chr(10) || '        return ' || p_size || CASE WHEN k < n THEN chr(10) || chr(10) || '    ' ELSE '' END AS content,
+  'global' || chr(10) || '└─ class ' || replace(p_brand, '#', '_') || chr(10) || '   └─ def part_' || p_partkey || '(' AS tree,
+  CAST(CASE WHEN k = 1 THEN 1 ELSE 5 * k - 2 END AS INTEGER) AS start_line, CAST(CASE WHEN k < n THEN 5 * k + 2 ELSE 5 * k END AS INTEGER) AS end_line, 2 AS n_relations
+FROM m"""
+)
+def code_tree(spark, sf_dir):
+    """A class for each brand: comments taken out, decorated methods, a tree of two levels."""
+    from ..operators.code import chunk_code
+
+    m = F.concat(F.lit("    # note of part "), F.col("p_partkey"), F.lit("\n    @cached\n    def part_"), F.col("p_partkey"), F.lit("(self):\n        return "), F.col("p_size"), F.lit("\n"))
+    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", m.alias("m")))).alias("ms"))
+    code = g.select("p_brand", F.concat(F.lit("class "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(":\n"), F.array_join("ms.m", "\n")).alias("code"))
+    c = chunk_code(code, max_functions=1, include_comments=False)
+    return c.select("p_brand", "chunk_num", "content", "tree", "start_line", "end_line", F.size("relations").alias("n_relations"))
+
+
 @query("SELECT p_brand, CAST(count(*) AS INTEGER) AS functions FROM part GROUP BY p_brand")
 def func_decl_count(spark, sf_dir):
     from ..operators.code import declarations
