@@ -51,3 +51,11 @@ def test_nulls(spark):
     ids = spark.createDataFrame([(None,), ([],), ([64, 65],)], "tokens array<int>")
     assert [r[0] for r in ids.select(bpe.decode_tokens(ids)).collect()] == [None, "", "ab"]
     assert docs.where("false").select(bpe.encode_text(docs).alias("v")).count() == 0
+
+
+def test_pieces_that_sums_modulo_two_to_the_64_confuse(other):
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate({97: "b", 98: "a"})
+    y = x.translate({97: "b", 98: "a"})
+    assert encoded([f"{x} {y}", y]) == [other.encode_ordinary(f"{x} {y}"), other.encode_ordinary(y)]

@@ -102,7 +102,7 @@ def test_all_pairs(spark, block):
     assert class_result(J.classes(df, s)) == brute_classes(docs, s.n, s.jaccard)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_few_kinds_of_words(spark, seed):
     """Sets that share much by chance, at every bound."""
     rng = random.Random(seed)
@@ -177,3 +177,12 @@ def test_stage_keeps_one_of_each_group(spark):
     out = J.stage(spark, df, "")
     assert out.columns == df.columns
     assert {(r.doc_id, r.text) for r in out.collect()} == {(3, a + " more"), (4, "something else"), (6, None), (None, a)}
+
+
+def test_words_that_sums_modulo_two_to_the_64_confuse(spark):
+    """Thue-Morse words differ in every letter, and their sums modulo a power of two are one, whatever the base."""
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate({97: "b", 98: "a"})
+    docs = [(1, f"one two {x}"), (2, f"one two {x.translate({97: 'b', 98: 'a'})}")]
+    assert J.classes(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
