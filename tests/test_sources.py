@@ -279,3 +279,20 @@ def test_encrypted_pdf_and_nested_latex():
     with pytest.raises(FileProcessingError, match="encrypted"):
         pdf(b"%PDF-1.4\n1 0 obj << >> endobj\ntrailer << /Encrypt 9 0 R >>\nstartxref\n5\n%%EOF" + b" " * 5000)
     assert latex_text(r"a \textbf{b \emph{c \textit{d \underline{e \textsc{f \texttt{g}}}}}} h") == "a b c d e f g h"
+
+
+def test_sinks_of_executors_and_yaml(spark, tmp_path):
+    import json
+
+    import pytest
+
+    df = spark.createDataFrame([("a", 1, "one: é"), ("a", 2, "two\nlines"), ("b c", 1, None)], "source string, chunk_num int, content string").repartition(2)
+    sinks.save_json(df, str(tmp_path / "all"))
+    got = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "all")).collect()), key=lambda r: (r["metadata"]["source"], r["metadata"]["chunk_num"]))
+    assert [r.get("content") for r in got] == ["one: é", "two\nlines", None]
+    sinks.save_by_source(df, str(tmp_path / "by"))
+    assert {(r.of, json.loads(r.value)["metadata"]["chunk_num"]) for r in spark.read.text(str(tmp_path / "by")).collect()} == {("a", 1), ("a", 2), ("b c", 1)}
+    yaml = pytest.importorskip("yaml")
+    assert sinks.write_yaml(df.orderBy("source", "chunk_num"), str(tmp_path / "x.yaml"), metadata=True) == 3
+    assert [x["content"] for x in yaml.safe_load((tmp_path / "x.yaml").read_text())] == ["one: é", "two\nlines", None]
+    assert sinks.write_yaml(df.limit(0), str(tmp_path / "none.yaml")) == 0

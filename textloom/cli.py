@@ -106,6 +106,8 @@ def _chunk(a: argparse.Namespace) -> int:
         sinks.write_text(chunks, sys.stdout, a.metadata)
     elif a.destination.endswith(".json"):
         sinks.write_json(chunks, a.destination, a.metadata)
+    elif a.destination.endswith((".yaml", ".yml")):
+        sinks.write_yaml(chunks, a.destination, a.metadata)
     else:
         sinks.write_folder(chunks, a.destination, a.metadata)
     return 0

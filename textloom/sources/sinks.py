@@ -12,6 +12,8 @@ from typing import Any, TextIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInputError
+
 
 def chunk_json(chunks: DataFrame, metadata: bool = True) -> DataFrame:
     """A column json for each chunk: content, and all other columns under metadata if asked."""
@@ -27,6 +29,33 @@ def rows(chunks: DataFrame) -> Iterator[dict[str, Any]]:
         yield {"content": d.pop("content"), "metadata": d}
 
 
+def save_json(chunks: DataFrame, path: str, metadata: bool = True) -> None:
+    """JSON lines in a folder, each partition written by its executor; nothing passes through the driver. For results of any size."""
+    chunk_json(chunks, metadata).write.text(path)
+
+
+def save_by_source(chunks: DataFrame, path: str, source: str = "source") -> None:
+    """JSON lines in a folder for each source, written by the executors; a source's chunks may be in several files."""
+    rest = [c for c in chunks.columns if c != "content"]
+    chunks.select(F.col(source).alias("of"), F.to_json(F.struct("content", F.struct(*rest).alias("metadata"))).alias("json")).write.partitionBy("of").text(path)
+
+
+def write_yaml(chunks: DataFrame, path: str, metadata: bool = False) -> int:
+    """One YAML list on the driver's disk, a chunk at a time; gives their number. Needs PyYAML."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise InvalidInputError("YAML needs PyYAML, which isn't installed") from e
+    n = 0
+    with open(path, "w", encoding="utf-8") as out:
+        for n, r in enumerate(rows(chunks), 1):
+            item = json.loads(json.dumps(r if metadata else {"content": r["content"]}, default=str))
+            out.write(yaml.safe_dump([item], allow_unicode=True, sort_keys=False))
+        if not n:
+            out.write("[]\n")
+    return n
+
+
 def write_json(chunks: DataFrame, path: str, metadata: bool = False) -> int:
     """One JSON array on the driver's disk, a chunk at a time; gives their number. For large results use chunk_json(...).write.text."""
     n = 0
