@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import ngram_join as J
+from textloom.llm.common import DROP_SHUFFLES
 from textloom.llm.graph import components
 
 
@@ -186,3 +189,25 @@ def test_words_that_sums_modulo_two_to_the_64_confuse(spark):
         x += x.translate({97: "b", 98: "a"})
     docs = [(1, f"one two {x}"), (2, f"one two {x.translate({97: 'b', 98: 'a'})}")]
     assert J.classes(spark.createDataFrame(docs, "doc_id long, text string")).count() == 0
+
+
+def shuffled(spark):
+    """Bytes of each shuffle file that is on disk."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_when_a_step_is_written(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(1500)] for _ in range(100)]
+    docs = [(2 * k + c, " ".join(x + ["end"] * c)) for k, x in enumerate(base) for c in (0, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    before, was = shuffled(spark), spark.conf.get(DROP_SHUFFLES, None)
+    found = J.classes(df)
+    most, until = sum(len(t) for _, t in docs) // 8, time.monotonic() + 20
+    while (left := sum(n for f, n in shuffled(spark).items() if f not in before)) > most and time.monotonic() < until:
+        time.sleep(0.2)
+    # texts, grams and sets have been shuffled; what is left are ids and edges
+    assert left <= most
+    assert spark.conf.get(DROP_SHUFFLES, None) == was
+    assert found.count() == len(docs)

@@ -43,6 +43,27 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own switch (4.1): what an action has shuffled is deleted when the action ends. A DataFrame has it as it was set when the DataFrame was made.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """durable(df), and the shuffle files it came from are deleted as soon as it is written; otherwise they stay until the driver happens to collect its garbage.
+
+    Only what this one computation of df has shuffled goes: a later one of df, or of anything df was made of, shuffles again."""
+    conf = df.sparkSession.conf
+    before = conf.get(DROP_SHUFFLES, None)
+    conf.set(DROP_SHUFFLES, "true")
+    try:
+        own = df.select("*")
+    finally:
+        if before is None:
+            conf.unset(DROP_SHUFFLES)
+        else:
+            conf.set(DROP_SHUFFLES, before)
+    return durable(own)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share. On a cluster it has to be set: a folder of one machine would do there only until another one reads it."""
     sc = spark.sparkContext

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Blocks, Scatter, ask, block_bucket, block_reduce, block_schema, block_shuffle, bucket_of, durable, found, joined, parts, ranges, starts, table, texts_of
+from .common import Blocks, Scatter, ask, block_bucket, block_reduce, block_schema, block_shuffle, bucket_of, found, joined, parts, ranges, settled, starts, table, texts_of
 from .graph import components, merged
 
 PAIRS = "doc_a long, doc_b long, size_a int, size_b int, overlap int, jaccard double"
@@ -274,7 +274,7 @@ def sharing(own: DataFrame, s: Settings) -> DataFrame:
     n = parts(own.sparkSession)
     asked = block_shuffle(own.mapInArrow(_ask_shared(n, s), _ASKED), n)
     told = block_shuffle(asked.mapInArrow(_tell_shared(n), _TOLD), n)
-    return durable(told.mapInArrow(_sharing, SHARING))
+    return settled(told.mapInArrow(_sharing, SHARING))
 
 
 # ---- 2. the rarest grams of each set
@@ -555,12 +555,12 @@ def _meeting(docs: DataFrame, s: Settings, key: str, text: str) -> _Meeting:
     n = parts(docs.sparkSession)
     own = texts_of(docs, key, text)
     members = sharing(own, s).distinct()
-    sets = durable(members.groupBy("tl_one", "tl_two", "tl_size").agg(F.min("tl_doc").alias("rep"), F.count("*").alias("copies")))
+    sets = settled(members.groupBy("tl_one", "tl_two", "tl_size").agg(F.min("tl_doc").alias("rep"), F.count("*").alias("copies")))
     reps = sets.groupBy(F.col("rep").alias("tl_doc")).agg(F.collect_set(F.struct("tl_one", "tl_two", "copies")).alias("tl_sets"))
-    blocks = durable(joined(own, reps, "tl_doc").select("tl_doc", "tl_text", "tl_sets").mapInArrow(_set_blocks(n, s), block_schema(_SETS)))
+    blocks = settled(joined(own, reps, "tl_doc").select("tl_doc", "tl_text", "tl_sets").mapInArrow(_set_blocks(n, s), block_schema(_SETS)))
     posted = ask(blocks, n, _SETS, _gram_counts, ["i4"], _several, ["i4"], _prefixes(n, s), Scatter(n, _POST, long=True).schema)
-    edges = block_reduce(posted, n, [*_POST, "i4", "u8"], _tiles(s.jaccard), "a long, b long")
-    groups = durable(components(edges))
+    edges = settled(block_reduce(posted, n, [*_POST, "i4", "u8"], _tiles(s.jaccard), "a long, b long"))
+    groups = settled(components(edges))
     sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("tl_many")), "component").select(F.col("node").alias("tl_doc"), F.col("component").alias("tl_group"), "tl_many")
     every = blocks.mapInArrow(_each_set, "tl_doc long, digest long, copies long, grams binary")
     tiles = joined(every, sized, "tl_doc").select("tl_doc", "digest", "copies", "grams", "tl_group", "tl_many").mapInArrow(_group_tiles(n, s), Scatter(n, _SET, long=True).schema)
@@ -595,7 +595,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     groups of copies just aren't written as pairs. What counts as similar is as in similar(); a key that is repeated with different texts is in
     one class with what is similar to any of them, and its figures are those of its texts together."""
     m = _meeting(docs, settings, key, text)
-    links = durable(block_reduce(m.tiles, m.n, [*_SET, "i4", "u8"], _link_rows(settings), LINKS))
+    links = settled(block_reduce(m.tiles, m.n, [*_SET, "i4", "u8"], _link_rows(settings), LINKS))
     of_doc = m.members.join(m.sets.hint("shuffle_hash"), ["tl_one", "tl_two", "tl_size"]).select("tl_doc", "rep", "copies")
     several = m.members.groupBy("tl_doc").agg(F.count("*").alias("n")).where("n > 1").select("tl_doc")
     bound = of_doc.join(several, "tl_doc", "left_semi")
@@ -625,7 +625,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that similar pairs connect, the one with the least doc_id; the others unchanged."""
-    gone = durable(classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("tl_doc"), F.lit(True).alias("tl_gone")))
+    gone = settled(classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("tl_doc"), F.lit(True).alias("tl_gone")))
     names = docs.columns
     own = docs.select(*[docs[c].alias(f"tl_c{k}") for k, c in enumerate(names)], docs["doc_id"].cast("long").alias("tl_doc"))
     return joined(own, gone, "tl_doc", "left").where("tl_gone is null").select(*[F.col(f"tl_c{k}").alias(c) for k, c in enumerate(names)])
