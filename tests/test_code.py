@@ -1,9 +1,13 @@
 """Code: blocks, trees, packing, comments and doc comments."""
 
+import ast
+
+import pyarrow as pa
 import pytest
 
 from textloom.errors import InvalidInputError, MissingTokenCounterError, TokenLimitError
-from textloom.operators.code import CodeLimits, chunk_code, declarations, pack_code
+from textloom.operators import code_structure
+from textloom.operators.code import CodeLimits, _chunked, chunk_code, declarations, pack_code
 from textloom.operators.code_structure import blocks, is_python, tree
 from textloom.operators.documents import words
 
@@ -119,3 +123,42 @@ def test_arguments(spark):
             chunk_code(df, **bad)
     with pytest.raises(MissingTokenCounterError):
         chunk_code(df, max_tokens=50)
+
+
+def test_long_code_is_parsed_in_pieces(monkeypatch):
+    longest = 0
+
+    def parse(code):
+        nonlocal longest
+        longest = max(longest, len(code))
+        return real(code)
+
+    real = code_structure.ast.parse
+    monkeypatch.setattr(code_structure.ast, "parse", parse)
+    method = "    @cached\n    def m{0}(self):\n        if {0}:\n            return 1\n        else:\n            return '''\nx = 2\n'''\n"
+    code = "class A:\n" + "".join(map(method.format, range(9000)))
+    assert is_python(code)
+    assert not is_python(code + "    def\n{")
+    assert len(code) > 700_000 and longest < 150_000
+
+
+@pytest.mark.parametrize("code", ["class A:\n  def f():\n    x\n  y\nelse:\n  z\n", "match x:\n  case 1:\n    y\n  z\n", "try:\n  x\ny\n", "class A: \\\n  x\n  y\n", "class A:\n\tx\n        y\n", "def f():\n  x \\\ny\n", "if x:\n  y\nelse:\n  z\nw\n", "def f():\n  '''\na\n'''\n  b\nc\n"])
+def test_pieces_parse_where_the_whole_does(code):
+    def parses(f, *a):
+        try:
+            f(*a)
+        except SyntaxError:
+            return False
+        return True
+
+    for piece in (1, 8, 20):
+        assert parses(code_structure._parse, code, piece) == parses(ast.parse, code)
+
+
+def test_chunks_leave_python_a_few_at_a_time():
+    code = "\n".join(f"def f{k}():\n    return {k}\n" for k in range(3000))
+    given = pa.record_batch([pa.array(["a", "b", "c"]), pa.array([code, None, code]), pa.array([None] * 3, pa.string())], ["k", "code", "path"])
+    for skip in (False, True):
+        out = list(_chunked(["k", "num", "c"], CodeLimits(max_functions=1), None, skip)(iter([given])))
+        assert max(b.num_rows for b in out) <= 1000
+        assert [(r["k"], r["num"], r["c"]) for b in out for r in b.to_pylist()] == [(k, n, c) for k in "ac" for n, c in enumerate(pack_code(code, CodeLimits(max_functions=1)), 1)]

@@ -1,31 +1,32 @@
 """Chunking of source code: blocks packed under limits on tokens, lines and functions.
 
-A block scan is a state machine over a text's lines, so each text goes through an Arrow UDF
-by itself; nothing is shuffled.
+A block scan is a state machine over a text's lines, so each text goes through Python by itself;
+nothing is shuffled. Chunks leave Python some hundred at a time, however many a text has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DataType, StructType
 
 from ..errors import InvalidInputError, MissingTokenCounterError, TokenLimitError
 from . import code_structure as S
 from .packing import count
 
-CHUNK = "array<struct<content:string,tree:string,relations:array<struct<parent:string,child:string>>,start_line:int,end_line:int,start:int,end:int,error:string>>"
-_CHUNK = pa.list_(
-    pa.struct(
-        [("content", pa.string()), ("tree", pa.string()), ("relations", pa.list_(pa.struct([("parent", pa.string()), ("child", pa.string())])))]
-        + [(n, pa.int32()) for n in ("start_line", "end_line", "start", "end")]
-        + [("error", pa.string())]
-    )
+CHUNK = "struct<content:string,tree:string,relations:array<struct<parent:string,child:string>>,start_line:int,end_line:int,start:int,end:int,error:string>"
+_CHUNK = pa.struct(
+    [("content", pa.string()), ("tree", pa.string()), ("relations", pa.list_(pa.struct([("parent", pa.string()), ("child", pa.string())])))]
+    + [(n, pa.int32()) for n in ("start_line", "end_line", "start", "end")]
+    + [("error", pa.string())]
 )
+#: Chunks, and characters of them, that are held in Python at a time.
+_MOST, _MOST_CHARS = 500, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def _over(block: S.Block, tokens: int, lines: int, limits: CodeLimits) -> str:
 
 class _Chunks:
     def __init__(self, code: str, limits: CodeLimits, counter: Callable[[str], int] | None):
-        self.limits, self.counter, self.begins, self.out = limits, counter, S.line_ends(code), []
+        self.limits, self.counter, self.begins = limits, counter, S.line_ends(code)
 
     def tokens(self, text: str) -> int:
         return count(text, self.counter) if self.limits.max_tokens is not None else 0
@@ -69,71 +70,108 @@ class _Chunks:
         m = self.limits
         return any(most is not None and n > most for n, most in ((tokens, m.max_tokens), (lines, m.max_lines), (functions, m.max_functions)))
 
-    def add(self, content: str, relations: list[tuple[str, str]], first: int, last: int) -> None:
+    def chunk(self, content: str, relations: list[tuple[str, str]], first: int, last: int) -> dict:
         relations = list(dict.fromkeys(relations))
-        self.out.append({"content": content, "tree": S.tree(relations), "relations": [{"parent": p, "child": c} for p, c in relations], "start_line": first, "end_line": last, "start": self.begins[first - 1], "end": self.begins[last], "error": None})
+        return {"content": content, "tree": S.tree(relations), "relations": [{"parent": p, "child": c} for p, c in relations], "start_line": first, "end_line": last, "start": self.begins[first - 1], "end": self.begins[last], "error": None}
 
-    def by_lines(self, block: S.Block) -> None:
+    def by_lines(self, block: S.Block) -> Iterator[dict]:
         """A block too long for a chunk, cut between lines; the last part's lines are counted from the block's end."""
         held: list[str] = []
         tokens, n = 0, block.start_line
-        for n, line in enumerate(block.content.splitlines(), block.start_line):
+        for n, line in enumerate(S.each_line(block.content), block.start_line):
             more = self.tokens(line)
             if held and self.over(tokens + more, len(held) + 1):
-                self.add("\n".join(held), block.relations, n - len(held), n - 1)
+                yield self.chunk("\n".join(held), block.relations, n - len(held), n - 1)
                 held, tokens = [], 0
             held.append(line)
             tokens += more
         if held:
-            self.add("\n".join(held), block.relations, block.end_line - len(held) + 1, block.end_line)
+            yield self.chunk("\n".join(held), block.relations, block.end_line - len(held) + 1, block.end_line)
 
-    def pack(self, blocks: list[S.Block]) -> list[dict]:
+    def pack(self, blocks: Iterable[S.Block]) -> Iterator[dict]:
         held: list[S.Block] = []
         tokens = lines = functions = 0
 
-        def flush() -> None:
+        def flush() -> Iterator[dict]:
             if held:
-                self.add("\n".join(b.content for b in held), [r for b in held for r in b.relations], held[0].start_line, held[-1].end_line)
+                yield self.chunk("\n".join(b.content for b in held), [r for b in held for r in b.relations], held[0].start_line, held[-1].end_line)
                 held.clear()
 
         for b in blocks:
             t, n, f = self.tokens(b.content), b.content.count("\n") + bool(b.content), int(bool(b.function))
             own = self.limits.max_functions if f else None
             if self.over(tokens + t, lines + n, functions + f if own is not None else 0):
-                flush()
+                yield from flush()
                 tokens = lines = functions = 0
             if self.over(t, n, f if own is not None else 0):
                 if self.limits.strict:
                     raise TokenLimitError(_over(b, t, n, self.limits))
-                self.by_lines(b)
+                yield from self.by_lines(b)
                 continue
             held.append(b)
             tokens, lines, functions = tokens + t, lines + n, functions + f
-        flush()
-        return self.out
+        yield from flush()
 
 
-def pack_code(code: str, limits: CodeLimits, counter: Callable[[str], int] | None = None, path: str | None = None) -> list[dict]:
-    """Chunks of one text; blank code has none."""
-    if not code.strip():
-        return []
-    return _Chunks(code, limits, counter).pack(S.blocks(code, limits.comments, limits.docstrings, S.is_python(code, path)))
-
+def each_chunk(code: str, limits: CodeLimits, counter: Callable[[str], int] | None = None, path: str | None = None) -> Iterator[dict]:
+    """Chunks of one text, given as they are made; blank code has none."""
+    if code and not code.isspace():
+        yield from _Chunks(code, limits, counter).pack(S.each_block(code, limits.comments, limits.docstrings, S.is_python(code, path)))
 
-def code_chunk_column(code: Column, path: Column, limits: CodeLimits, token_counter: Callable | None = None, skip_errors: bool = False) -> Column:
-    @arrow_udf(CHUNK)
-    def f(codes: pa.Array, paths: pa.Array) -> pa.Array:
-        out = []
-        for c, p in zip(codes.to_pylist(), paths.to_pylist(), strict=True):
-            try:
-                out.append([] if c is None else pack_code(c, limits, token_counter, p))
-            except Exception as e:
-                if not skip_errors:
-                    raise
-                out.append([dict.fromkeys(n.name for n in _CHUNK.value_type) | {"error": f"{type(e).__name__}: {e}"}])
-        return pa.array(out, _CHUNK)
 
-    return f.asNondeterministic()(code, path)
+def pack_code(code: str, limits: CodeLimits, counter: Callable[[str], int] | None = None, path: str | None = None) -> list[dict]:
+    """The same as a list."""
+    return list(each_chunk(code, limits, counter, path))
+
+
+def _parts(chunks: Iterable[dict]) -> Iterator[pa.StructArray]:
+    """Chunks as Arrow arrays of so many that little is held in Python."""
+    held, size = [], 0
+    for c in chunks:
+        held.append(c)
+        size += len(c["content"])
+        if len(held) >= _MOST or size >= _MOST_CHARS:
+            yield pa.array(held, _CHUNK)
+            held, size = [], 0
+    if held:
+        yield pa.array(held, _CHUNK)
+
+
+def _chunked(names: list[str], limits: CodeLimits, counter: Callable | None, skip_errors: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: rows with code and path as the last columns become a row a chunk."""
+
+    def parts_of(code: str | None, path: str | None) -> Iterable[pa.StructArray]:
+        parts = _parts(() if code is None else each_chunk(code, limits, counter, path))
+        if not skip_errors:
+            return parts
+        try:
+            # what fails has an error alone, so nothing leaves before the end
+            return list(parts)
+        except Exception as e:
+            return [pa.array([dict.fromkeys(n.name for n in _CHUNK) | {"error": f"{type(e).__name__}: {e}"}], _CHUNK)]
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nums, parts, size, n = [], [], [], 0, 0
+
+            def made() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(rows))
+                return pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns[:-2]] + [pa.array(np.concatenate(nums)), pa.concat_arrays(parts)], names)  # noqa: B023
+
+            for i in range(batch.num_rows):
+                n = 0
+                for part in parts_of(batch.column(batch.num_columns - 2)[i].as_py(), batch.column(batch.num_columns - 1)[i].as_py()):
+                    rows.append(np.full(len(part), i, np.int32))
+                    nums.append(np.arange(n + 1, n + len(part) + 1, dtype=np.int32))
+                    parts.append(part)
+                    n, size = n + len(part), size + part.nbytes
+                    if sum(map(len, rows)) >= _MOST or size >= _MOST_CHARS:
+                        yield made()
+                        rows, nums, parts, size = [], [], [], 0
+            if parts:
+                yield made()
+
+    return f
 
 
 def chunk_code(
@@ -163,8 +201,10 @@ def chunk_code(
     if on_errors == "break" and order is None:
         raise InvalidInputError('on_errors="break" needs a key, which says what comes before what')
     rest = [c for c in df.columns if c != code]
-    made = df.select(*rest, F.posexplode(code_chunk_column(F.col(code), F.col(path) if path else F.lit(None).cast("string"), limits, token_counter, on_errors != "raise")).alias("chunk_num", "c"))
-    out = made.select(*rest, (F.col("chunk_num") + 1).alias("chunk_num"), "c.content", "c.tree", "c.relations", "c.start_line", "c.end_line", F.struct("c.start", "c.end").alias("span"), "c.error")
+    given = df.select(*rest, F.col(code).alias("tl_code"), (F.col(path) if path else F.lit(None).cast("string")).alias("tl_path"))
+    schema = StructType([*df.select(*rest).schema.fields, *DataType.fromDDL(f"tl_num int, tl_c {CHUNK}").fields])
+    made = given.mapInArrow(_chunked(schema.names, limits, token_counter, on_errors != "raise"), schema)
+    out = made.select(*rest, F.col("tl_num").alias("chunk_num"), "tl_c.content", "tl_c.tree", "tl_c.relations", "tl_c.start_line", "tl_c.end_line", F.struct("tl_c.start", "tl_c.end").alias("span"), "tl_c.error")
     if on_errors == "break":
         # one row
         first = out.where("error is not null").agg(F.min(order).alias("tl_first"))
