@@ -162,3 +162,11 @@ def test_chunks_leave_python_a_few_at_a_time():
         out = list(_chunked(["k", "num", "c"], CodeLimits(max_functions=1), None, skip)(iter([given])))
         assert max(b.num_rows for b in out) <= 1000
         assert [(r["k"], r["num"], r["c"]) for b in out for r in b.to_pylist()] == [(k, n, c) for k in "ac" for n, c in enumerate(pack_code(code, CodeLimits(max_functions=1)), 1)]
+
+
+def test_functions_outside_of_classes_are_parsed_in_pieces(monkeypatch):
+    read = []
+    real = code_structure.ast.parse
+    monkeypatch.setattr(code_structure.ast, "parse", lambda code: read.append(len(code)) or real(code))
+    assert is_python("\n".join(f"def part_{k}(self):\n    size = {k}\n    return size * {k}\n" for k in range(9000)))
+    assert len(read) > 3 and max(read) < 150_000
