@@ -1,10 +1,11 @@
 """Chunks of documents: limits, overlap, spans, errors; plans against the procedure."""
 
+import pyarrow as pa
 import pytest
 
 from textloom.errors import CallbackError, InvalidInputError, MissingTokenCounterError
 from textloom.operators.documents import chunk_documents, split_errors, words
-from textloom.operators.packing import Finder, Limits, pack, packed_paragraphs
+from textloom.operators.packing import Finder, Limits, _sections, pack, packed_paragraphs
 
 TEXT = "# Intro\nFirst, one thing; then another. Second here. Third there, too. \n## Next\nFourth one. Fifth, at last. Sixth."
 
@@ -115,3 +116,16 @@ def test_token_query_against_the_procedure(spark):
         find = Finder(d.text or "").find
         want = [(c.strip(), *find(c.removeprefix("..."))) for c in pack(plain_sentences(d.text or ""), Limits(max_tokens=60, overlap_percent=20), words)]
         assert got.get(d.doc_id, []) == want
+
+
+def test_paragraphs_are_packed_without_strings_of_python():
+    import random
+
+    r = random.Random(5)
+    given = [None, [], [""], ["é" * 30, "x"]] + [["ü" * r.randrange(25) for _ in range(r.randrange(30))] for _ in range(300)]
+    for most, joiner in ((40, "\n"), (0, "--"), (4000, "\n\n")):
+        want = [None if p is None else packed_paragraphs(p, most, joiner) for p in given]
+        got = _sections(pa.array([["dropped"], *given], pa.list_(pa.string()))[1:], most, joiner)
+        assert got.to_pylist() == want and got.type == pa.list_(pa.string())
+    with pytest.raises(TypeError):
+        _sections(pa.array([["a", None]]), 40, "\n")
