@@ -6,6 +6,8 @@ import pytest
 from textloom.errors import CallbackError, InvalidInputError, MissingTokenCounterError
 from textloom.operators.documents import chunk_documents, split_errors, words
 from textloom.operators.packing import Finder, Limits, _sections, pack, packed_paragraphs
+from textloom.operators.spans import places
+from textloom.plans.queries import QUERIES
 
 TEXT = "# Intro\nFirst, one thing; then another. Second here. Third there, too. \n## Next\nFourth one. Fifth, at last. Sixth."
 
@@ -129,3 +131,18 @@ def test_paragraphs_are_packed_without_strings_of_python():
         assert got.to_pylist() == want and got.type == pa.list_(pa.string())
     with pytest.raises(TypeError):
         _sections(pa.array([["a", None]]), 40, "\n")
+
+
+def test_places_of_all_parts_of_a_text(spark):
+    rows = [(1, "aé. b aé 漢字 b\U0001f600 x", ["aé", "b", "字", "\U0001f600 x", "", "not there", "b"]), (2, "abab", ["ab", "b", "ba"]), (3, None, ["a"]), (4, "a", None), (5, "", []), (6, "plain", ["in", "z"])]
+    df = spark.createDataFrame(rows, "k int, t string, p array<string>").repartition(1)
+    got = {r.k: r.x and [tuple(y) for y in r.x] for r in df.select("k", places(df.t, df.p).alias("x")).collect()}
+    assert got == {k: p and [(-1 if t is None else t.find(x), len(x)) for x in p] for k, t, p in rows}
+
+
+def test_texts_are_not_copied_for_each_sentence(spark):
+    for name in ("span_exact", "chunk_overlaps", "position_cover"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        made = [line for line in plan.split("\n") if "Generate posexplode" in line]
+        # what is exploded carries no text along
+        assert made and not any("text#" in line.split("[", 1)[-1] for line in made)

@@ -109,11 +109,17 @@ def chunk_sections(spark, sf_dir):
     return chunk_documents(headed(spark, sf_dir), max_section_breaks=2, overlap_percent=0, spans=False)
 
 
+def _places(spark, sf_dir):
+    """Sentences as the first place of each in its text."""
+    s = docs(spark, sf_dir).select("doc_id", "text", S.sentence_column(F.col("text")).alias("s"))
+    d = s.select("doc_id", F.posexplode(P.places(F.col("text"), F.col("s"))).alias("p", "at"))
+    return d.select("doc_id", (F.col("p") + 1).alias("sent_num"), "at.start", "at.length")
+
+
 @query(f"WITH {Q.SENTENCE_TABLE} SELECT doc_id, sent_num, CAST(strpos(text, sentence) - 1 AS INTEGER) AS span_start, CAST(CASE WHEN strpos(text, sentence) > 0 THEN strpos(text, sentence) - 1 + length(sentence) ELSE -1 END AS INTEGER) AS span_end FROM sents")
 def span_exact(spark, sf_dir):
-    d = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(S.sentence_column(F.col("text"))).alias("p", "sentence"))
-    at = F.expr("locate(sentence, text)") - 1
-    return d.select("doc_id", (F.col("p") + 1).alias("sent_num"), at.alias("span_start"), F.when(at >= 0, at + F.length("sentence")).otherwise(-1).alias("span_end"))
+    at = F.col("start")
+    return _places(spark, sf_dir).select("doc_id", "sent_num", at.alias("span_start"), F.when(at >= 0, at + F.col("length")).otherwise(-1).alias("span_end"))
 
 
 @query(f"SELECT doc_id, code, CASE WHEN confidence >= 0.7 THEN code ELSE 'fallback' END AS route FROM ({Q.detected('text')})")
@@ -246,9 +252,8 @@ _PLACED = f"""WITH {Q.SENTENCE_TABLE}, placed AS (SELECT doc_id, sent_num AS chu
 
 def _placed(spark, sf_dir):
     """Sentences as chunks that run fifteen characters into what follows."""
-    d = docs(spark, sf_dir).select("doc_id", "text", F.posexplode(S.sentence_column(F.col("text"))).alias("p", "sentence"))
-    at = F.position("sentence", "text") - 1
-    return d.select("doc_id", (F.col("p") + 1).alias("chunk_num"), at.alias("start"), (at + F.length("sentence") + 15).alias("end")).where("start >= 0")
+    at = F.col("start")
+    return _places(spark, sf_dir).select("doc_id", F.col("sent_num").alias("chunk_num"), at.alias("start"), (at + F.col("length") + 15).alias("end")).where("start >= 0")
 
 
 @query(
