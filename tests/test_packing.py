@@ -1,6 +1,7 @@
 """Chunks of documents: limits, overlap, spans, errors; plans against the procedure."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from textloom.errors import CallbackError, InvalidInputError, MissingTokenCounterError
@@ -8,6 +9,7 @@ from textloom.operators.documents import chunk_documents, split_errors, words
 from textloom.operators.packing import Finder, Limits, _sections, pack, packed_paragraphs
 from textloom.operators.spans import places
 from textloom.plans.queries import QUERIES
+from textloom.sources import tables
 
 TEXT = "# Intro\nFirst, one thing; then another. Second here. Third there, too. \n## Next\nFourth one. Fifth, at last. Sixth."
 
@@ -146,3 +148,18 @@ def test_texts_are_not_copied_for_each_sentence(spark):
         made = [line for line in plan.split("\n") if "Generate posexplode" in line]
         # what is exploded carries no text along
         assert made and not any("text#" in line.split("[", 1)[-1] for line in made)
+
+
+def test_tasks_dont_grow_with_a_file_of_one_row_group(spark, tmp_path, monkeypatch):
+    pq.write_table(pa.table({"x": list(range(20_000))}), tmp_path / "t.parquet")
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    assert tables.dealt(df).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(tables, "SHARE", (tmp_path / "t.parquet").stat().st_size // 10)
+    assert tables.dealt(df).rdd.getNumPartitions() >= 10 and tables.dealt(df).count() == 20_000
+
+
+def test_finder_holds_no_list_of_places():
+    text = "Añ, b²! " * 1000
+    found = Finder(text)
+    assert not isinstance(found.at, list) and found.at.dtype.itemsize <= 8
+    assert found.find("b² Añ") == (4, 9) and found.clean == "Añb²" * 1000
