@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from textloom.errors import CallbackError, InvalidInputError, MissingTokenCounterError
+from textloom.functions.gather import gathered
 from textloom.operators.documents import chunk_documents, split_errors, words
 from textloom.operators.packing import Finder, Limits, _sections, pack, packed_paragraphs
 from textloom.operators.spans import places
@@ -163,3 +164,22 @@ def test_finder_holds_no_list_of_places():
     found = Finder(text)
     assert not isinstance(found.at, list) and found.at.dtype.itemsize <= 8
     assert found.find("b² Añ") == (4, 9) and found.clean == "Añb²" * 1000
+
+
+def test_chunks_are_held_as_values_of_python_a_few_at_a_time():
+    alive = most = 0
+
+    class Held(str):
+        def __new__(cls, x):
+            nonlocal alive, most
+            alive += 1
+            most = max(most, alive)
+            return super().__new__(cls, x)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    got = gathered((Held("x" * 1000) for _ in range(20_000)), pa.string(), len)
+    assert len(got) == 20_000 and got.nbytes > 20_000_000 and most < 1500
+    assert gathered([], pa.string(), len).to_pylist() == [] and gathered(["a", None], pa.string(), lambda t: len(t or "")).to_pylist() == ["a", None]

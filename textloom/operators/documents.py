@@ -16,6 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..errors import InvalidInputError, MissingTokenCounterError
 from ..functions import text as T
+from ..functions.gather import gathered
 from .packing import Finder, Limits, pack
 from .sentences import sentence_column
 
@@ -74,26 +75,26 @@ def chunk_column(text: Column, sentences: Column, limits: Limits, token_counter:
 
     @arrow_udf(CHUNK)
     def f(t: pa.Array, s: pa.Array) -> pa.Array:
-        out = []
-        for whole, parts in zip(t.to_pylist(), s.to_pylist(), strict=True):
-            if whole is None or not parts:
-                out.append([])
-                continue
-            try:
-                chunks = pack(parts, limits, counter)
-            except Exception as e:
-                if not skip_errors:
-                    raise
-                out.append([{"content": None, "start": -1, "end": -1, "n_sentences": 0, "n_tokens": None, "error": f"{type(e).__name__}: {e}"}])
-                continue
-            find = Finder(whole).find
-            rows = []
-            for c in chunks:
-                start, end = find(c.removeprefix(limits.marker))
-                content = c.strip()
-                rows.append({"content": content, "start": start, "end": end, "n_sentences": c.count("\n") + 1, "n_tokens": counter(content) if counter is not None and content else None, "error": None})
-            out.append(rows)
-        return pa.array(out, _CHUNK)
+        # a document's values are Python's only while it is gone through, and its chunks until there are some of them
+        pairs = zip((x.as_py() for x in t), (x.as_py() for x in s), strict=True)
+        return gathered((chunks_of(*p) for p in pairs), _CHUNK, lambda rows: sum(100 + len(r["content"] or "") for r in rows))
+
+    def chunks_of(whole: str | None, parts: list[str] | None) -> list[dict]:
+        if whole is None or not parts:
+            return []
+        try:
+            chunks = pack(parts, limits, counter)
+        except Exception as e:
+            if not skip_errors:
+                raise
+            return [{"content": None, "start": -1, "end": -1, "n_sentences": 0, "n_tokens": None, "error": f"{type(e).__name__}: {e}"}]
+        find = Finder(whole).find
+        rows = []
+        for c in chunks:
+            start, end = find(c.removeprefix(limits.marker))
+            content = c.strip()
+            rows.append({"content": content, "start": start, "end": end, "n_sentences": c.count("\n") + 1, "n_tokens": counter(content) if counter is not None and content else None, "error": None})
+        return rows
 
     return f.asNondeterministic()(text, sentences)
 
