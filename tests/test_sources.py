@@ -296,3 +296,16 @@ def test_sinks_of_executors_and_yaml(spark, tmp_path):
     assert sinks.write_yaml(df.orderBy("source", "chunk_num"), str(tmp_path / "x.yaml"), metadata=True) == 3
     assert [x["content"] for x in yaml.safe_load((tmp_path / "x.yaml").read_text())] == ["one: é", "two\nlines", None]
     assert sinks.write_yaml(df.limit(0), str(tmp_path / "none.yaml")) == 0
+
+
+def test_pages_are_made_markdown_a_few_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from textloom.functions import gather
+    from textloom.sources.readers import html_column
+
+    pages = [None, "", "<p>a</p>", "<h3>b</h3>" * 3] * 20
+    monkeypatch.setattr(gather, "MOST", 150)
+    parts = gather.gathered([None if p is None else to_markdown(p) for p in pages], __import__("pyarrow").string(), lambda t: len(t or "")).to_pylist()
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, h string").repartition(1)
+    assert [r.m for r in df.select("k", html_column(F.col("h")).alias("m")).orderBy("k").collect()] == parts == [None if p is None else to_markdown(p) for p in pages]
